@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("names_queries",)
 
 
 def query_modules() -> list[ModuleType]:
