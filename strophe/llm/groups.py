@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from strophe.llm.components import connected
+from strophe.operators.components import connected
 from strophe.session import cut
 
 

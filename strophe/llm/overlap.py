@@ -16,7 +16,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strophe.llm.components import connected
+from strophe.operators.components import connected
 from strophe.llm.naming import Rule, same_name
 from strophe.session import cut
 
