@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from strophe.functions.text import SPACE_CLASS
+
 # The words and patterns that define keys and ids of the released tables.
 BRACKETED = r"[（(\[][^）)\]]*[）)\]]"
 TITLE_MARKS = r"[\s《》·,，.。'\"-]"
@@ -41,9 +43,14 @@ def singer_key(c: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("S"), F.substring(F.sha1(name), 1, 8)))
 
 
+def trim_all(c: Column) -> Column:
+    """Drops every kind of space at both ends."""
+    return F.regexp_replace(c, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+
+
 def split_names(c: Column, marks: str = r"[、,，;；/|&]") -> Column:
     """Names of a list, trimmed, without brackets; empty ones dropped, the first of equal ones kept."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), marks), lambda x: F.trim(F.regexp_replace(x, BRACKETED, "")))
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), marks), lambda x: trim_all(F.regexp_replace(x, BRACKETED, "")))
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
