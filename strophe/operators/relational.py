@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from strophe.operators.ordered import number_rows
+
 
 def conform(df: DataFrame, schema: T.StructType, extras: bool = False) -> DataFrame:
     """Columns of the schema in its order: absent ones as null, present ones cast; other columns dropped or kept last."""
@@ -97,7 +99,7 @@ def upsert_registry(registry: DataFrame, new: DataFrame, keys: Sequence[str], id
     """Existing keys keep their number; new ones get max+1 and on, in the order. Keys only (not rows) are numbered."""
     fresh = new.select(*keys).distinct().join(registry, list(keys), "left_anti")
     top = registry.agg(F.coalesce(F.max(ident), F.lit(0)).alias("__top"))
-    numbered = fresh.crossJoin(F.broadcast(top)).withColumn(ident, (F.row_number().over(Window.orderBy(*order)) + F.col("__top")).cast("long"))
+    numbered = number_rows(fresh, order, "__k").crossJoin(F.broadcast(top)).withColumn(ident, (F.col("__k") + F.col("__top")).cast("long"))
     return registry.select(*keys, ident).unionByName(numbered.select(*keys, ident))
 
 

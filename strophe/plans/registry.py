@@ -36,6 +36,5 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def recordings(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Recordings without repeated rows; with columns, item_id and these only (so the scan is pruned and the key decides)."""
-    df = table(spark, d, "recordings")
-    return (df.select("item_id", *columns) if columns else df).distinct()
+    """Recordings without repeated rows: item_id and the given columns only, so the scan is pruned."""
+    return table(spark, d, "recordings").select("item_id", *columns).distinct()

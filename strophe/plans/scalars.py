@@ -95,7 +95,7 @@ def line_template(spark: SparkSession, d: str) -> DataFrame:
 def flag_lists(spark: SparkSession, d: str) -> DataFrame:
     """A list of flags built from conditions, and joined (F-S14, F-A03)."""
     r = recordings(spark, d, "core", "feature_flags", "geo_level", "composer")
-    flags = F.array_compact(F.array(F.when("core" if False else F.col("core"), "core"), F.when(F.coalesce("feature_flags", F.lit("")).contains("instrument:"), "instrumental"), F.when(F.col("geo_level") == "site", "measured"), F.when(present("composer").isNotNull(), "composed")))
+    flags = F.array_compact(F.array(F.when(F.col("core"), "core"), F.when(F.coalesce("feature_flags", F.lit("")).contains("instrument:"), "instrumental"), F.when(F.col("geo_level") == "site", "measured"), F.when(present("composer").isNotNull(), "composed")))
     return r.select("item_id", F.array_join(flags, ";").alias("flags"))
 
 
@@ -185,7 +185,7 @@ def province_distances(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.vec_id AS a, b.vec_id AS b, round(sum(bit_count(xor(a.v, b.v))) / 64.0, 6) AS ber FROM w a JOIN w b ON b.vec_id = a.vec_id + 1 AND a.word = b.word GROUP BY ALL""")
 def bit_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """Share of differing bits of fingerprints of neighbouring items (F-M07, V-09)."""
-    word = lambda k: F.aggregate(F.slice(F.transform("embedding", lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), 1) * 0 + F.pow(F.lit(2.0), i % 32).cast("long")).otherwise(F.lit(0).cast("long"))), 32 * k + 1, 32), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    word = lambda k: F.aggregate(F.slice(F.transform("embedding", lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i % 32).cast("long")).otherwise(F.lit(0).cast("long"))), 32 * k + 1, 32), F.lit(0).cast("long"), lambda acc, x: acc + x)
     w = table(spark, d, "embeddings").select("vec_id", word(0).alias("w0"), word(1).alias("w1"))
     b = w.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("w0").alias("v0"), F.col("w1").alias("v1"))
     ber = (C.bit_error(F.col("w0"), F.col("v0")) + C.bit_error(F.col("w1"), F.col("v1"))) / 2
