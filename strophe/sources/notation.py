@@ -178,6 +178,9 @@ def parse_textgrid(data: bytes) -> list[tuple[str, float, float, str]]:
     return out
 
 
+_BLOCKS = ("p", "br", "div", "li", "tr", "h1", "h2", "h3")
+
+
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -193,12 +196,14 @@ class _Page(HTMLParser):
             self.links.append(("link", a["href"]))
         if tag in ("img", "audio", "video", "source") and a.get("src"):
             self.links.append(("image" if tag == "img" else "media", a["src"]))
-        if tag in ("p", "br", "div", "li", "tr", "h1", "h2", "h3"):
+        if tag in _BLOCKS:
             self.text.append("\n")
 
     def handle_endtag(self, tag):
         self.skip -= tag in ("script", "style") and self.skip > 0
         self.in_title &= tag != "title"
+        if tag in _BLOCKS:
+            self.text.append("\n")
 
     def handle_data(self, data):
         if self.in_title:
