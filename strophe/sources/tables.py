@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from strophe.operators.relational import conform, nan_to_null
@@ -42,10 +44,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header:
     return nan_to_null(typed).select(*(columns or schema.names))
 
 
-def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType | str, otherwise: str = "GBK", **options) -> DataFrame:
-    """UTF-8 where all lines are valid in it, else the other encoding; one pass over the bytes decides."""
-    valid = spark.read.text(path).where("not is_valid_utf8(value)").isEmpty()
-    return read_csv(spark, path, schema, encoding="UTF-8" if valid else otherwise, **options)
+def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType | str, otherwise: str = "gb18030", **options) -> DataFrame:
+    """UTF-8 where all lines are valid in it (one pass over the bytes decides), else the other encoding, which Spark's own reader does
+    not know: then each file is decoded and parsed as a whole in a worker."""
+    if spark.read.text(path).where("not is_valid_utf8(value)").isEmpty():
+        return read_csv(spark, path, schema, **options)
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for data in b["content"]:
+                t = pd.read_csv(io.StringIO(bytes(data).decode(otherwise)), dtype=str, keep_default_na=False)
+                yield t.reindex(columns=schema.names)
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, T.StructType([T.StructField(n, T.StringType()) for n in schema.names]))
+    return raw.select(*[F.when(~F.col(f"`{f.name}`").isin(*NA_TOKENS), F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
@@ -67,8 +80,6 @@ def read_excel(spark: SparkSession, path: str, schema: T.StructType, sheet: int
         import openpyxl  # noqa: F401
     except ImportError as e:
         raise RuntimeError("reading workbooks needs openpyxl; export the sheet as CSV instead") from e
-    import pandas as pd
-
     pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
     return conform(spark.createDataFrame(pdf.where(pdf.notna(), None), T.StructType([T.StructField(c, T.StringType()) for c in pdf.columns])), schema)
 
