@@ -24,7 +24,7 @@ LEVELS: tuple[tuple[str, re.Pattern[str]], ...] = (
     ("line", re.compile(r"\r\n|\n|\r| | ")),
     ("sentence", re.compile(rf"[。！？!?…]+{_CLOSE}|\.{_CLOSE}(?=\s)")),
     ("clause", re.compile(rf"[；;：:，,、]{_CLOSE}|[—–]+")),
-    ("word", re.compile(r"\s+|(?<=[^\s])(?=\s)|(?<=[A-Za-z0-9])(?=[㐀-鿿])|(?<=[㐀-鿿])(?=[A-Za-z0-9])")),
+    ("word", re.compile(r"(?<=[^\s])(?=\s)|\s+|(?<=[A-Za-z0-9])(?=[㐀-鿿])|(?<=[㐀-鿿])(?=[A-Za-z0-9])")),
 )
 
 
