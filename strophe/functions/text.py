@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
@@ -52,7 +51,6 @@ def number_present(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-@lru_cache(1)
 def width_table() -> dict[str, str]:
     """Single characters whose compatibility form is one other character of the same look:
     width variants, compatibility ideographs and radicals. Made from the Unicode tables by rule."""
@@ -67,7 +65,6 @@ def width_table() -> dict[str, str]:
     return out
 
 
-@lru_cache(1)
 def lookalike_table() -> dict[str, str]:
     """Character to the one it looks like: width forms first, then letters and marks of other blocks."""
     out = {x: to for to, all_ in LOOKALIKES.items() for x in all_}
@@ -89,9 +86,14 @@ _INVISIBLE = re.compile(INVISIBLE_CLASS)
 _SPACES = re.compile(SPACE_CLASS + "+")
 
 
-@lru_cache(1)
+#: Tables made once a process. A plain dict, since functions travel to workers by value and a decorated cache does not.
+_MADE: dict[str, dict] = {}
+
+
 def _lookalike_map() -> dict[int, str]:
-    return str.maketrans(lookalike_table())
+    if "map" not in _MADE:
+        _MADE["map"] = str.maketrans(lookalike_table())
+    return _MADE["map"]
 
 
 def fold_text(v: str, simplified: dict[int, str] | None = None) -> str:
