@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -52,7 +51,6 @@ class Readings:
         return out, latin
 
 
-@lru_cache(200_000)
 def _cut(word: str, syllables: frozenset[str]) -> tuple[str, ...]:
     n = len(word)
     best: list[tuple[int, int, int]] = [(0, 0, 0)] + [(10**6, 0, 0)] * n  # letters outside syllables, pieces, start of the last piece
@@ -74,9 +72,22 @@ def _cut(word: str, syllables: frozenset[str]) -> tuple[str, ...]:
     return tuple(reversed(out))
 
 
+#: Words cut so far in this process; emptied when it grows, so a worker holds a bounded number.
+_CUTS: dict[str, tuple[str, ...]] = {}
+
+
 def cut_latin(word: str, syllables: frozenset[str]) -> list[str]:
     """The word in known syllables: fewest letters outside them, then fewest pieces."""
-    return list(_cut(word, syllables)) if word else []
+    if not word:
+        return []
+    if len(word) > 64:
+        return list(_cut(word, syllables))
+    key = f"{len(syllables)} {word}"
+    if key not in _CUTS:
+        if len(_CUTS) > 100_000:
+            _CUTS.clear()
+        _CUTS[key] = _cut(word, syllables)
+    return list(_CUTS[key])
 
 
 def edits(a, b, most: int, substitute: bool = True) -> int:
