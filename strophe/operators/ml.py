@@ -100,3 +100,91 @@ def linear_probe(df: DataFrame, vector: str, y: str, held_out: Column) -> DataFr
     p = LinearRegression(featuresCol="features", labelCol="label", regParam=0.01).fit(x.where("not held")).transform(x.where("held"))
     r2 = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="r2").evaluate(p)
     return df.sparkSession.createDataFrame([(p.count(), float(r2))], "n long, r2 double")
+
+
+def _features(df: DataFrame, ident: str, label: str, features: Column, *others: str) -> DataFrame:
+    return df.select(F.col(ident).alias("id"), F.col(label).cast("double").alias("label"), array_to_vector(features.cast("array<double>")).alias("features"), *others)
+
+
+def _fit(train: DataFrame, reg: float = 0.01):
+    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=reg, maxIter=30).fit(balanced_weights(train, "label"))
+
+
+def top_coefficients(df: DataFrame, label: str, vector: str, k: int) -> DataFrame:
+    """``(label, feature, coefficient)``: the k largest of each class. The matrix has classes times features entries."""
+    import numpy as np
+
+    x = cut(df.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
+    m = _fit(x).coefficientMatrix.toArray()
+    rows = [(c, int(i), float(m[c, i])) for c in range(len(m)) for i in np.argsort(-m[c], kind="stable")[:k]]
+    return df.sparkSession.createDataFrame(rows, "label int, feature int, coefficient double")
+
+
+def stack(df: DataFrame, ident: str, label: str, fold: str, views: Sequence[Column]) -> DataFrame:
+    """``(ident, label, guess)``: out-of-fold probabilities of every view side by side, predicted again out of fold."""
+    base = df.select(ident, label, fold)
+    for i, v in enumerate(views):
+        base = base.join(cross_validate(df, ident, label, fold, v).select(F.col("id").alias(ident), F.col("p").alias(f"p{i}")), ident)
+    both = cut(base)
+    p = cross_validate(both, ident, label, fold, F.concat(*[F.col(f"p{i}") for i in range(len(views))]))
+    return fuse([p], ident, df.select(ident, label))
+
+
+def nested_selection(df: DataFrame, ident: str, label: str, fold: str, features: Column, grid: Sequence[float]) -> DataFrame:
+    """``(fold, chosen, accuracy)``: the strength is chosen on inner halves of the training rows only."""
+    x = cut(_features(df, ident, label, features, fold))
+    folds = [r[0] for r in x.select(fold).distinct().orderBy(fold).limit(100).collect()]
+    right = lambda m, t: m.transform(t).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+    rows = []
+    for f in folds:
+        train, test = x.where(F.col(fold) != f), x.where(F.col(fold) == f)
+        inner = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == 0
+        best = max(grid, key=lambda g: (right(_fit(train.where(inner), g), train.where(~inner)) or 0.0, -g))
+        rows.append((int(f), float(best), float(right(_fit(train, best), test) or 0.0)))
+    return df.sparkSession.createDataFrame(rows, "fold int, chosen double, accuracy double")
+
+
+def two_stage(df: DataFrame, ident: str, coarse: str, fine: str, held: str, features: Column) -> DataFrame:
+    """``(ident, label, guess)`` of held-out rows: routed by the coarse model to the model of their coarse class."""
+    x = cut(_features(df, ident, fine, features, held, F.col(coarse).cast("double").alias("coarse")))
+    train, test = x.where(~F.col(held)), x.where(F.col(held))
+    route = _fit(train.select("id", F.col("coarse").alias("label"), "features")).transform(test.select("id", "features")).select("id", F.col("prediction").alias("route"))
+    test = cut(test.join(route, "id"))
+    classes = [r[0] for r in train.select("coarse").distinct().orderBy("coarse").limit(100).collect()]
+    out = [_fit(train.where(F.col("coarse") == c)).transform(test.where(F.col("route") == c)).select(F.col("id").alias(ident), F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("guess")) for c in classes]
+    return reduce(DataFrame.unionAll, out)
+
+
+def random_feature_ridge(df: DataFrame, ident: str, label: str, held: str, vector: str, hidden: int, reg: float = 1.0, seed: int = 7) -> DataFrame:
+    """``(ident, label, guess)`` of held-out rows: a fixed random layer, then ridge regression onto the classes. Each batch adds its part of
+    the normal equations (hidden x hidden and hidden x classes); only these sums reach the driver."""
+    import numpy as np
+    import pandas as pd
+
+    width = df.select(F.max(F.size(vector))).first()[0]
+    classes = df.select(F.max(label)).first()[0] + 1
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(size=(width, hidden)), rng.uniform(-1, 1, hidden)
+    layer = lambda v: np.tanh(np.stack([np.asarray(x, float) for x in v]) @ w + b)
+    x = df.select(F.col(ident).alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).alias("v"), F.col(held).alias("held")).where("v is not null and label is not null")
+
+    def sums(batches):
+        a, c = np.zeros((hidden, hidden)), np.zeros((hidden, classes))
+        for p in batches:
+            if len(p):
+                h = layer(p["v"])
+                a += h.T @ h
+                c += h.T @ np.eye(classes)[p["label"].to_numpy()]
+        yield pd.DataFrame({"m": [np.concatenate([a.ravel(), c.ravel()]).tolist()]})
+
+    total = x.where("not held").mapInPandas(sums, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+    a, c = total[: hidden * hidden].reshape(hidden, hidden), total[hidden * hidden :].reshape(hidden, classes)
+    beta = np.linalg.solve(a + reg * np.eye(hidden), c)
+
+    def predict(batches):
+        for p in batches:
+            if len(p):
+                yield pd.DataFrame({"id": p["id"], "label": p["label"], "guess": (layer(p["v"]) @ beta).argmax(axis=1).astype("int32")})
+
+    kind = df.schema[ident].dataType.simpleString()
+    return x.where("held").mapInPandas(predict, f"id {kind}, label int, guess int").withColumnRenamed("id", ident)
