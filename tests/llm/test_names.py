@@ -74,8 +74,9 @@ def test_average_linkage():
 
 def test_candidates_lose_nothing(spark):
     rng = random.Random(5)
-    forms = [(f"i{k}", "f", "", "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 14))), "[]", False) for k in range(150)]
-    v = form_vectors(spark.createDataFrame(forms, "id string, field string, label string, letters string, parts string, latin boolean"), 3)
+    names = [[rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))] for _ in range(150)]
+    forms = [(f"i{k}", "f", "", x, ["".join(x)], "[]", False) for k, x in enumerate(names)]
+    v = form_vectors(spark.createDataFrame(forms, "id string, field string, label string, syllables array<string>, words array<string>, parts string, latin boolean"), 3)
     vec = {r.id: {x.gram: x.w for x in r.vec} for r in v.collect()}
     got = {(r.id_a, r.id_b) for r in candidate_pairs(v, 0.4).collect()}
     want = {(a, b) for a in vec for b in vec if a < b and sum(w * vec[b].get(g, 0) for g, w in vec[a].items()) >= 0.4}
