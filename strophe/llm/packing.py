@@ -77,10 +77,10 @@ def pack(sizes: list[int], capacity: int, slacks: tuple[float, ...] = (0.002, 0.
 def cut_oversized(text: str, capacity: int, enc: Encoder) -> list[tuple[int, int, int]]:
     """``(start, end, tokens)`` in characters: the whole text where it fits, else runs of at most capacity tokens, each counted
     as it would be encoded alone."""
-    n = enc.count(text)
-    if n <= capacity:
-        return [(0, len(text), n)]
-    chars, whole = enc.boundaries(text)
+    ids = enc.encode(text)
+    if len(ids) <= capacity:
+        return [(0, len(text), len(ids))]
+    chars, whole = enc.boundaries(text, ids)
     out, a, last = [], 0, len(chars) - 1
     while a < last:
         b = min(a + capacity, last)

@@ -36,9 +36,10 @@ def split_text(text: str, limit: int, overlap: int, enc: Encoder, least: float =
     """
     if not 0 <= overlap < limit * least:
         raise ValueError("the overlap must be smaller than the least filling of a piece")
-    if len(text.encode("utf-8", "surrogatepass")) <= limit or enc.count(text) <= limit:
+    ids = enc.encode(text)
+    if len(ids) <= limit:
         return []
-    chars, whole = enc.boundaries(text)
+    chars, whole = enc.boundaries(text, ids)
     last = len(chars) - 1
     usable = np.flatnonzero(whole)
     at_char = chars[usable]

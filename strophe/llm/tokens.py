@@ -34,9 +34,10 @@ class Encoder:
     def count(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text))
 
-    def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """For each token boundary (0 .. number of tokens): its offset in characters, and whether it falls between two characters."""
-        ids = np.asarray(self.encode(text), dtype=np.int64)
+    def boundaries(self, text: str, ids: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each token boundary (0 .. number of tokens): its offset in characters, and whether it falls between two characters.
+        ids: the tokens of the text, where they are known already."""
+        ids = np.asarray(self.encode(text) if ids is None else ids, dtype=np.int64)
         at = np.concatenate(([0], np.cumsum(self.bytes[ids])))
         raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
         starts = np.concatenate(((raw & 0xC0) != 0x80, [True]))
