@@ -13,7 +13,7 @@ from strophe.functions.text import MISSING_WORDS
 from strophe.llm.readings import HAN, Readings, edits
 
 # Words of the field. Unknown singers and songs, genres, notes beside a name.
-UNKNOWN = {"佚名", "不详", "未详", "无名", "无题", "未知", "不明", "众人", "集体", "群众", "待考", "unknown", "anonymous", "untitled", "various", "null", "none", "nan", "na", "n/a", "-", "?"}
+UNKNOWN = {"佚名", "无名氏", "未署名", "未名", "待定", "无", "不详", "未详", "无名", "无题", "未知", "不明", "众人", "集体", "群众", "待考", "unknown", "anonymous", "untitled", "various", "null", "none", "nan", "na", "n/a", "-", "?"}
 GENRES = ("短调", "长调", "田歌", "船歌", "渔歌", "茶歌", "酒歌", "山歌", "情歌", "牧歌", "小调", "号子", "童谣", "民歌", "小曲", "folk song", "folksong")
 SONG_ENDINGS = ("小唱", "号子", "xiaochang", "hao子", "haozi", "调", "谣", "曲")
 SONG_NOTES = ("片段", "选段", "节选", "全曲", "完整版", "现场版", "现场", "清唱", "另一唱法", "live", "excerpt", "fragment")

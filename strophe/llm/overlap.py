@@ -69,7 +69,7 @@ def scan_block(evals: pd.DataFrame, texts: pd.DataFrame, rule: Rule, width: int,
     return out
 
 
-def near_keys(evals: DataFrame, texts: DataFrame, rule: Rule, width: int = 5, coverage: float = 0.25, shard: int = 4000, block: int = 20_000) -> DataFrame:
+def near_keys(evals: DataFrame, texts: DataFrame, rule: Rule, width: int = 5, coverage: float = 0.25, shard: int = 2000, block: int = 5000) -> DataFrame:
     """``(eval_id, id, coverage)`` of near keys. Both sides: (id, letters, label, parts, latin), one row per form.
 
     shard, block: keys per automaton and texts per task, the bounds of what one task holds.
