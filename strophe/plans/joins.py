@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from strophe.functions.columns import norm_title
 from strophe.functions.text import present
+from strophe.operators.ordered import number_rows
 from strophe.operators.relational import contained_pairs, keep_first, keep_last, lookup, nearest_join, overlap_join, pairs_within, replace_by_key, upsert_registry
 from strophe.plans.registry import REC, Registry, recordings, sql_present, table
 
@@ -247,7 +247,7 @@ def normalised_duplicates(spark: SparkSession, d: str) -> DataFrame:
 def song_registry(spark: SparkSession, d: str) -> DataFrame:
     """A registry keeps the numbers of known keys and numbers new ones from max+1 (K-06, E-08)."""
     keys = table(spark, d, "scores").where("song_key is not null").select("song_key").distinct()
-    old = keys.withColumn("song_no", F.row_number().over(Window.orderBy("song_key")).cast("long"))
+    old = number_rows(keys, ["song_key"], "song_no")
     new = recordings(spark, d, "song_key").where("song_key is not null and not contains(song_key, '#')")
     return upsert_registry(old, new, ["song_key"], "song_no", [F.col("song_key")])
 
