@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from strophe.llm.tokens import Encoder, encoder, vocabulary
-from strophe.session import cut
+from strophe.session import cut, parallelism
 
 Partition = tuple[list[int], list[list[int]]]  # sums of the windows in use, largest first, and the items of each
 
@@ -134,5 +134,5 @@ def pack_documents(docs: DataFrame, doc: str, text: str, capacity: int, vocabula
             where[w] = f"{g['block'][0]}.{n}"
         return pd.DataFrame({"container": where, **{c: g[c] for c in ("doc", "piece", "start", "end", "tokens")}})
 
-    packed = rest.groupBy("block").applyInPandas(fill, f"container string, doc {kind}, piece int, start int, end int, tokens int")
+    packed = rest.repartition(max(1, min(blocks, 4 * parallelism(docs.sparkSession))), "block").groupBy("block").applyInPandas(fill, f"container string, doc {kind}, piece int, start int, end int, tokens int")
     return packed.unionByName(full).withColumnRenamed("doc", doc)
