@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strophe.operators.components import connected
 from strophe.llm.naming import Rule, same_name
-from strophe.session import cut
+from strophe.session import cut, parallelism
 
 
 def passages(letters: str, width: int) -> list[tuple[str, int]]:
@@ -83,6 +83,9 @@ def near_keys(evals: DataFrame, texts: DataFrame, rule: Rule, width: int = 5, co
     def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(scan_block(a, b, rule, width, coverage), columns=["eval_id", "id", "coverage"])
 
+    # a number of partitions of our own: a scan is far more work than its few bytes suggest
+    parts = max(1, min(shards * blocks, 4 * parallelism(texts.sparkSession)))
+    e, t = e.repartition(parts, "shard", "block"), t.repartition(parts, "shard", "block")
     return e.groupBy("shard", "block").cogroup(t.groupBy("shard", "block")).applyInPandas(scan, "eval_id string, id string, coverage double")
 
 
