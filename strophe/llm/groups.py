@@ -44,7 +44,7 @@ def record_groups(df: DataFrame, record: str, keys: dict[str, Column]) -> DataFr
 def assign_splits(records: DataFrame, group: str, stratum: str, shares: dict[str, float], large: float = 0.05, bins: int = 4096) -> DataFrame:
     """``(group, split)``: whole groups to splits, so that records come near the shares overall and in each stratum.
 
-    A group counts in the stratum that most of its records have (the smallest of equal ones). Groups above the share
+    A group counts in the stratum that most of its records have (of equal ones the one a hash picks). Groups above the share
     ``large`` of their stratum go to the first split, which is the largest. All others get a bin by the hash of
     their id; bins, taken in order, fill the small splits first and then the first one. Only bins are ordered:
     at most ``bins`` rows a stratum, whatever the number of records. A null stratum is a stratum.
