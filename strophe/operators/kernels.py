@@ -298,14 +298,14 @@ def partitions(n: int, k: int) -> list[list[int]]:
 
 
 def chance_recall(pool: int, true: int, k: int) -> float:
-    """Probability that k of the pool drawn without return hold at least one of the true items."""
+    """Probability that k of the pool drawn without return hold at least one of the true items (F-M10)."""
     from math import comb
 
     return 1.0 if k > pool - true else 1 - comb(pool - true, k) / comb(pool, k)
 
 
 def augment(notes: Sequence[tuple[float, float, int]], key: str, share: float = 0.1) -> list[tuple[float, float, int]]:
-    """Jittered times and grace notes, drawn from a generator seeded by the key."""
+    """Jittered times and grace notes, drawn from a generator seeded by the key (N-22)."""
     import zlib
 
     rng = np.random.default_rng(zlib.crc32(key.encode()))

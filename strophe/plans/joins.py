@@ -15,6 +15,7 @@ NORM = "lower(regexp_replace(regexp_replace(regexp_replace({c}, '^\\d+[_\\-\\s.]
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their time in seconds."""
     return table(spark, d, "events").withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
 
 

@@ -40,6 +40,7 @@ LOADERS = {"recordings": load_recordings, "scores": load_scores, "documents": lo
 
 
 def master(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all loaders in the schema of items."""
     return union_sources([conform(f(spark, d), ITEM) for f in LOADERS.values()])
 
 

@@ -20,6 +20,7 @@ NOTES_SQL = """n AS (SELECT user_id AS item, event_id, CAST(epoch_us(ts) - min(e
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
+    """The events as notes: (item, event_id, onset, dur, pitch, event_type, value, pos)."""
     e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     w = Window.partitionBy("user_id")
     e = e.withColumns({"onset": (F.col("us") - F.min("us").over(w)).cast("double") / 1e6, "pos": F.row_number().over(w.orderBy("us", "event_id"))})

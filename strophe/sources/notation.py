@@ -69,7 +69,7 @@ def kern_duration(token: str) -> Fraction:
 
 
 def parse_kern(data: bytes) -> list[tuple[float, float, int, int]]:
-    """``(onset, dur, pitch, phrase)`` of the first spine: ties are merged, grace notes dropped, rests only pass time."""
+    """``(onset, dur, pitch, phrase)`` of the first spine: ties are merged, grace notes dropped, rests only pass time (S-15)."""
     at, phrase = Fraction(0), 0
     out: list[list] = []
     tied: list | None = None
@@ -96,7 +96,7 @@ def parse_kern(data: bytes) -> list[tuple[float, float, int, int]]:
 
 
 def parse_record_heads(data: bytes) -> list[tuple[str, str]]:
-    """``(key, value)`` of lines like ``!!!KEY: value``."""
+    """``(key, value)`` of lines like ``!!!KEY: value`` (S-19)."""
     return [(m[1], m[2].strip()) for m in re.finditer(r"^!!!([A-Za-z@]+)\d*:[ \t]*(.*)$", decode(data), re.M)]
 
 
@@ -110,7 +110,7 @@ def _varlen(data: bytes, i: int) -> tuple[int, int]:
 
 
 def parse_midi(data: bytes, drums: bool = False) -> list[tuple[float, float, int, int, int]]:
-    """``(onset, dur, pitch, velocity, track)`` in beats. Notes of the drum channel are left out unless asked for."""
+    """``(onset, dur, pitch, velocity, track)`` in beats. Notes of the drum channel are left out unless asked for (S-14)."""
     if data[:4] != b"MThd":
         raise ValueError("not a MIDI file")
     size, _, tracks, division = struct.unpack(">IHHH", data[4:14])
@@ -152,7 +152,7 @@ def parse_midi(data: bytes, drums: bool = False) -> list[tuple[float, float, int
 
 
 def parse_musicxml(data: bytes) -> list[tuple[int, int, int, str, int]]:
-    """One row: measures, notes, rests, the time signatures in order, and syllables of lyrics."""
+    """One row: measures, notes, rests, the time signatures in order, and syllables of lyrics (S-16)."""
     root = ET.fromstring(data)
     for e in root.iter():
         e.tag = e.tag.rsplit("}", 1)[-1]
@@ -162,7 +162,7 @@ def parse_musicxml(data: bytes) -> list[tuple[int, int, int, str, int]]:
 
 
 def parse_textgrid(data: bytes) -> list[tuple[str, float, float, str]]:
-    """``(tier, start, end, text)`` of the interval tiers, long or short form."""
+    """``(tier, start, end, text)`` of the interval tiers, long or short form (S-17)."""
     tokens = re.findall(r'"(?:[^"]|"")*"|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?', re.sub(r"^.*?=\s*", "", re.sub(r"\b(?:item|intervals|points)\s*\[\d*\]:?", "", decode(data)), flags=re.M))
     out: list[tuple[str, float, float, str]] = []
     i = 0
@@ -213,7 +213,7 @@ class _Page(HTMLParser):
 
 
 def parse_html(data: bytes) -> list[tuple[str, str]]:
-    """``(kind, value)``: the title, the visible text with one line per block, links, images and media."""
+    """``(kind, value)``: the title, the visible text with one line per block, links, images and media (S-22)."""
     p = _Page()
     p.feed(decode(data))
     lines = [re.sub(r"\s+", " ", x).strip() for x in "".join(p.text).split("\n")]
@@ -221,7 +221,7 @@ def parse_html(data: bytes) -> list[tuple[str, str]]:
 
 
 def parse_token_stream(data: bytes) -> list[tuple[str, int, float]]:
-    """``(syllable, pitch, beats)`` of a text of tokens ``<lyric>``, ``<pN>``, ``<dN>`` (in sixteenths)."""
+    """``(syllable, pitch, beats)`` of a text of tokens ``<lyric>``, ``<pN>``, ``<dN>`` (in sixteenths; S-26)."""
     out: list[tuple[str, int, float]] = []
     lyric, pitch = "", None
     for t in re.findall(r"<([^>]*)>", decode(data)):

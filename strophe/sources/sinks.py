@@ -12,33 +12,35 @@ from strophe.operators.relational import replace_by_key
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A parquet table (K-01, S-08, S-21)."""
     df.write.mode(mode).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], one_file: bool = False) -> None:
-    """Fixed column order and a header. One file only where that is asked for, for small results."""
+    """Fixed column order and a header. One file only where that is asked for, for small results (K-02)."""
     out = df.select(*columns)
     (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, key: str, fmt: str = "parquet", per_file: int = 1_000_000) -> None:
-    """A folder per slugged value of the key. Rows are parted by the key and a hash, so a hot value is written by many tasks; files are capped in rows."""
+    """A folder per slugged value of the key. Rows are parted by the key and a hash, so a hot value is written by many tasks; files are capped in rows (K-03)."""
     part = F.coalesce(slug(F.col(key)), F.lit("none"))
     x = df.withColumn("__part", part).withColumnRenamed("__part", f"{key}_slug")
     x.write.mode("overwrite").option("maxRecordsPerFile", per_file).option("header", True).partitionBy(f"{key}_slug").format(fmt).save(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
+    """Adds rows to a log (K-04, D14)."""
     df.write.mode("append").parquet(path)
 
 
 def rewrite_keys(df: DataFrame, old: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Old rows of keys that are written anew are dropped; the result goes to a new path, so reading and writing never meet."""
+    """Old rows of keys that are written anew are dropped; the result goes to a new path, so reading and writing never meet (K-05)."""
     replace_by_key(old, df, keys).write.mode("errorifexists").parquet(path)
 
 
 def nested_report(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
-    """``(group, report)``: one JSON text per group with its rows as a sorted list."""
+    """``(group, report)``: one JSON text per group with its rows as a sorted list (K-07, D18)."""
     g = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"), F.count("*").alias("n"))
     return g.select(group, F.to_json(F.struct(F.col(group), "n", "rows")).alias("report"))
 
@@ -69,13 +71,13 @@ def markdown_table(rows: list[dict]) -> str:
 
 
 def latex_macros(numbers: Mapping[str, object], prefix: str = "num") -> str:
-    """One macro per named number."""
+    """One macro per named number (K-08)."""
     safe = lambda k: "".join(p.capitalize() for p in "".join(ch if ch.isalpha() else " " for ch in k).split())
     return "".join(f"\\newcommand{{\\{prefix}{safe(k)}}}{{{_cell(v)}}}\n" for k, v in numbers.items())
 
 
 def fill_template(text: str, values: Mapping[str, object]) -> str:
-    """Replaces ``{KEY}``; a key without a value is an error."""
+    """Replaces ``{KEY}``; a key without a value is an error (K-09)."""
     import re
 
     return re.sub(r"\{([A-Z][A-Z0-9_]*)\}", lambda m: _cell(values[m[1]]), text)

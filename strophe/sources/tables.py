@@ -27,7 +27,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header:
     """A CSV file or pattern with a given schema; an empty table of that schema where nothing matches.
 
     All cells are read as text and cast, so that every spelling of nothing becomes null (not with keep_tokens). A byte order
-    mark before the first name is dropped. Cells that do not fit their type are null. Columns are found by name where there is a header.
+    mark before the first name is dropped (S-01 to S-04, S-06, S-07). Cells that do not fit their type are null. Columns are found by name where there is a header.
     """
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     if not _exists(spark, path):
@@ -46,7 +46,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header:
 
 def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType | str, otherwise: str = "gb18030", **options) -> DataFrame:
     """UTF-8 where all lines are valid in it (one pass over the bytes decides), else the other encoding, which Spark's own reader does
-    not know: then each file is decoded and parsed as a whole in a worker."""
+    not know: then each file is decoded and parsed as a whole in a worker (S-05)."""
     if spark.read.text(path).where("not is_valid_utf8(value)").isEmpty():
         return read_csv(spark, path, schema, **options)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -62,7 +62,7 @@ def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType |
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
-    """JSON lines; lines that do not parse are dropped, or with strict an error."""
+    """JSON lines; lines that do not parse are dropped, or with strict an error (S-11)."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
@@ -70,12 +70,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A JSON document: an array of objects or one object."""
+    """A JSON document: an array of objects or one object (S-10)."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def read_excel(spark: SparkSession, path: str, schema: T.StructType, sheet: int | str = 0) -> DataFrame:
-    """A workbook, converted at the edge; needs the openpyxl package."""
+    """A workbook, converted at the edge; needs the openpyxl package (S-09)."""
     try:
         import openpyxl  # noqa: F401
     except ImportError as e:
@@ -85,7 +85,7 @@ def read_excel(spark: SparkSession, path: str, schema: T.StructType, sheet: int
 
 
 def read_arrow(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Arrow IPC files or streams: read file by file in the workers, only the columns asked for. The schema comes from the first file."""
+    """Arrow IPC files or streams: read file by file in the workers, only the columns asked for. The schema comes from the first file (S-12)."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -109,14 +109,14 @@ def read_arrow(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 
 def read_records(spark: SparkSession, path: str, names: Sequence[str], sep: str = r"\s+") -> DataFrame:
-    """Lines of fields parted by white space or a mark; lines of another number of fields are dropped."""
+    """Lines of fields parted by white space or a mark; lines of another number of fields are dropped (S-18)."""
     parts = F.split(F.trim("value"), sep)
     t = spark.read.text(path).select(parts.alias("p")).where(F.size("p") == len(names))
     return t.select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)])
 
 
 def read_tree(spark: SparkSession, root: str, levels: Sequence[str], glob: str = "*") -> DataFrame:
-    """A file tree as a table: path, the last folders as columns, file name, suffix and size. Contents are not read."""
+    """A file tree as a table: path, the last folders as columns, file name, suffix and size. Contents are not read (S-13, D15)."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length")
     p = F.split("path", "/")
     n = len(levels)
@@ -126,7 +126,7 @@ def read_tree(spark: SparkSession, root: str, levels: Sequence[str], glob: str =
 
 
 def discover(spark: SparkSession, root: str, pattern: str, read, label: str = "round") -> DataFrame:
-    """The union of all folders root/<pattern><number>, with the number as a column; folders are listed on the file system."""
+    """The union of all folders root/<pattern><number>, with the number as a column; folders are listed on the file system (S-25)."""
     import re
 
     jvm = spark.sparkContext._jvm
@@ -140,5 +140,5 @@ def discover(spark: SparkSession, root: str, pattern: str, read, label: str = "r
 
 
 def align_frames(series: dict[str, DataFrame], item: str, frame: str) -> DataFrame:
-    """Frame series of several sources on (item, frame); only frames that all of them have, so each item ends with its shortest."""
+    """Frame series of several sources on (item, frame); only frames that all of them have, so each item ends with its shortest (S-20)."""
     return reduce(lambda a, b: a.join(b, [item, frame]), series.values())
