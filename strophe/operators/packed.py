@@ -132,12 +132,13 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str], least: int = 1
 
     No shuffle but the one that makes keys distinct; cells that hold no separator at
     all cannot hold two values and are decided before the Python stage where least > 1.
+    In a cell that begins with a bracket a comma may be one, whatever its field.
     """
     struct = F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).cast("string").alias("cell")) for name in fields])
     cells = df.select(F.col(key).alias("__key"), F.explode(struct).alias("c")).select("__key", "c.field", "c.cell")
     cells = cells.where(~is_missing("cell"))
     if least > 1:
-        any_of = F.lit(False)
+        any_of = F.ltrim("cell", F.lit(_SPACE)).substr(1, 1).isin(*BRACKETS) & F.contains("cell", F.lit(","))
         for name, seps in fields.items():
             any_of = any_of | ((F.col("field") == name) & (F.length(F.translate("cell", seps, "")) < F.length("cell")))
         cells = cells.where(any_of)

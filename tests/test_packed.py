@@ -46,3 +46,14 @@ def test_rows(spark):
     assert {r[0] for r in out} == {"a", "f", None}
     assert split_packed(df.where("false"), "id", {"flags": LIST_SEPARATORS}).count() == 0
     assert ("e", "flags", 0, "one") in [tuple(r) for r in split_packed(df, "id", {"flags": LIST_SEPARATORS}).collect()]
+
+
+def test_bracketed_commas_pass_the_filter(spark):
+    """A written list of quoted values is parted at commas in any field, also where the cell holds no separator of its field."""
+    cells = ['["title only", "uploader: x, county folk troupe"]', '\u3000 ["a", "b"]', '【“a”,“b”】', '["one, only"]', "[a, b]", "a, b", '("x"; "y")']
+    df = spark.createDataFrame(list(enumerate(cells)), "id int, cell string")
+    got = {}
+    for r in sorted(split_packed(df, "id", {"cell": TEXT_SEPARATORS}, least=2).collect(), key=lambda r: (r.id, r.pos)):
+        got.setdefault(r.id, []).append(r.piece)
+    assert got == {i: v for i, c in enumerate(cells) if len(v := tokenize_cell(c, TEXT_SEPARATORS)) > 1}
+    assert got[0] == ["title only", "uploader: x, county folk troupe"] and set(got) == {0, 1, 2, 6}
