@@ -60,14 +60,14 @@ def note_f1(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("item").applyInPandas(score, "item long, precision double, recall double, f1 double")
 
 
-def _sequences(spark: SparkSession, d: str, most: int) -> DataFrame:
-    n = notes(spark, d).where(F.col("pos") <= most)
-    return n.groupBy("item").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "pitch"))), lambda x: x["pitch"]).alias("p"))
+def _sequences(spark: SparkSession, d: str) -> DataFrame:
+    return notes(spark, d).groupBy("item").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "pitch"))), lambda x: x["pitch"]).alias("p"))
 
 
 def melodic_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Local alignment over transpositions, and agreement after global alignment, of neighbouring items (N-09, N-10, N-11)."""
-    s = _sequences(spark, d, 60)
+    """Local alignment over transpositions, and agreement after global alignment, of neighbouring items (N-09, N-10, N-11), over
+    whole sequences; only the agreement has a limit, of 400 notes."""
+    s = _sequences(spark, d)
     pair = s.join(s.select((F.col("item") - 1).alias("item"), F.col("item").alias("other"), F.col("p").alias("q")), "item")
 
     def align(batches):
