@@ -4,7 +4,7 @@ import datetime
 import random
 
 from strophe.operators import kernels as K
-from strophe.plans import models
+from strophe.plans import models, statistics
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -25,3 +25,25 @@ def test_alignment_takes_whole_sequences(spark, tmp_path):
     p, q = [36 + v for v in a], [36 + v for v in b]
     assert [(r.item, r.other, r.local, r.agreement) for r in got] == [(1, 2, K.align_local(p, q), K.agreement(p, q))]
     assert got[0].local != K.align_local(p[:60], q[:60])
+
+
+def test_components_of_all_lines(spark, tmp_path):
+    rng = random.Random(6)
+    lines = [(rng.randrange(30), rng.randrange(60), float(rng.choice([50, 7])), 0.1, 0.08) for _ in range(40)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for s, p, *_ in lines:
+        parent[find(f"s{s}")] = find(f"p{p}")
+    groups = {}
+    for x in list(parent):
+        groups.setdefault(find(x), []).append(x)
+    got = {r.node: r.root for r in statistics.connected_groups_whole(spark, str(tmp_path)).collect()}
+    assert got == {x: min(g) for g in groups.values() for x in g} and len(groups) > 3
+    assert len(got) > statistics.connected_groups(spark, str(tmp_path)).count()
