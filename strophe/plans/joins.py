@@ -111,6 +111,13 @@ def pairs_in_groups(spark: SparkSession, d: str) -> DataFrame:
     return pairs_within(r, ["song_key", "region"], "item_id").select("song_key", "item_id_a", "item_id_b")
 
 
+@Q(f"SELECT a.song_key, a.item_id AS item_id_a, b.item_id AS item_id_b FROM {REC} a JOIN {REC} b ON a.song_key = b.song_key AND a.region = b.region AND a.item_id < b.item_id")
+def pairs_in_groups_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of recordings of one song and region, over all folds and levels (J-15)."""
+    r = recordings(spark, d, "song_key", "region", "fold", "geo_level")
+    return pairs_within(r, ["song_key", "region"], "item_id").select("song_key", "item_id_a", "item_id_b")
+
+
 @Q("SELECT a.r_name AS name_a, b.r_name AS name_b, abs(a.n - b.n) AS gap FROM (SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name) a JOIN (SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name) b ON a.r_name < b.r_name")
 def group_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of a handful of groups (J-16); gathered in one list, since there are as many as regions of the world."""

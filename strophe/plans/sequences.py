@@ -169,11 +169,26 @@ def rank_of_true(spark: SparkSession, d: str) -> DataFrame:
     SELECT event_id, round(100.0 * count(n.value) FILTER (WHERE n.value < q.value) / count(n.value), 4) AS percentile FROM q JOIN n ON n.event_type = q.event_type GROUP BY event_id""")
 def null_percentile(spark: SparkSession, d: str) -> DataFrame:
     """Share of a null sample strictly below each value (W-21), from one running count over the union instead of pairs."""
-    e = table(spark, d, "events").select("event_id", "event_type", "value", (F.col("user_id") % 7).alias("m")).where("m in (0, 1)")
+    return _percentiles(_events_by_residue(spark, d).where("m in (0, 1)"))
+
+
+@Q("""WITH n AS (SELECT event_type, value FROM events WHERE user_id % 7 = 0), q AS (SELECT event_id, event_type, value FROM events WHERE user_id % 7 <> 0)
+    SELECT event_id, round(100.0 * count(n.value) FILTER (WHERE n.value < q.value) / count(n.value), 4) AS percentile FROM q JOIN n ON n.event_type = q.event_type GROUP BY event_id""")
+def null_percentile_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every event outside the null sample (W-21)."""
+    return _percentiles(_events_by_residue(spark, d))
+
+
+def _events_by_residue(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "event_type", "value", (F.col("user_id") % 7).alias("m"))
+
+
+def _percentiles(e: DataFrame) -> DataFrame:
+    """e: (event_id, event_type, value, m); the rows of m = 0 are the null sample, all others are scored."""
     null = F.col("m") == 0
     # rows of equal value are peers of a range frame; the count before them excludes ties
     below = F.count_if(null).over(Window.partitionBy("event_type").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)) - F.count_if(null).over(Window.partitionBy("event_type", "value"))
-    x = e.withColumns({"below": below, "all": F.count_if(null).over(Window.partitionBy("event_type"))}).where("m = 1 and all > 0")
+    x = e.withColumns({"below": below, "all": F.count_if(null).over(Window.partitionBy("event_type"))}).where("m <> 0 and all > 0")
     return x.select("event_id", F.round(100.0 * F.col("below") / F.col("all"), 4).alias("percentile"))
 
 
