@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql.window import Window
 
 from strophe.functions.columns import hash_order
 from strophe.operators.relational import cap_per_group
+from strophe.session import cut
 
 
 def sample(df: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
@@ -83,24 +86,25 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, large: int = 2000
 def greedy_distinct(df: DataFrame, region: str, rank: Sequence[Column], n: int, distinct: Sequence[str], ident: str) -> DataFrame:
     """Per region up to n rows in rank order, of which no two share a value of any ``distinct`` column (nulls never clash).
 
-    A row can only be picked if it is the best of its value of each column up to ties with rows already skipped, so the candidates
-    are cut to the best n rows per region and value of the first column before the sequential pass.
+    Of rows that agree in all ``distinct`` columns only the best can be picked (unless all are null), so the candidates are the
+    best row per region and combination. Each of at most n rounds then takes, per region, the best candidate after the last
+    pick that clashes with none so far: the picks of the sequential pass, without a region in one task. Equal rows count once.
     """
-    kind = df.schema[ident].dataType.simpleString()
-    rkind = df.schema[region].dataType.simpleString()
-    d = df.withColumn("__o", F.struct(*rank, F.col(ident)))
-    d = d.withColumn("__n", F.row_number().over(Window.partitionBy(region, distinct[0]).orderBy("__o"))).where(F.col("__n") <= n)
-    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(region).orderBy("__o"))).select(region, ident, *distinct, "__r")
-
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        seen: list[set] = [set() for _ in distinct]
-        out = []
-        for row in g.sort_values("__r").itertuples(index=False):
-            values = [getattr(row, c) for c in distinct]
-            if len(out) < n and not any(v in s for v, s in zip(values, seen) if v is not None):
-                out.append((getattr(row, region), getattr(row, ident), len(out) + 1))
-                for v, s in zip(values, seen):
-                    s.add(v)
-        return pd.DataFrame(out, columns=[region, ident, "pick"])
-
-    return d.groupBy(region).applyInPandas(pick, f"{region} {rkind}, {ident} {kind}, pick int")
+    fields = [f"d{i}" for i in range(len(distinct))]
+    order = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.col(ident).alias("i"), *[F.col(c).alias(f) for c, f in zip(distinct, fields)])
+    rows = df.select(F.col(region).alias("g"), order.alias("o"))
+    free = reduce(and_, [F.col(f"o.{f}").isNull() for f in fields])
+    tied = rows.where(~free).groupBy("g", *[F.col(f"o.{f}").alias(f) for f in fields]).agg(F.min("o").alias("o")).select("g", "o")
+    candidates = cut(tied.unionAll(rows.where(free)))
+    picks = None
+    for k in range(1, n + 1):
+        live = candidates
+        if picks is not None:
+            taken = picks.groupBy(F.col("g").alias("h")).agg(F.max("o").alias("last"), F.collect_list("o").alias("taken"))
+            clash = F.exists("taken", lambda p: reduce(or_, [F.coalesce(p[f] == F.col(f"o.{f}"), F.lit(False)) for f in fields]))
+            live = candidates.join(F.broadcast(taken), F.col("g").eqNullSafe(F.col("h"))).where((F.col("o") > F.col("last")) & ~clash)
+        best = cut(live.groupBy("g").agg(F.min("o").alias("o")).withColumn("pick", F.lit(k)))
+        picks = best if picks is None else picks.unionAll(best)
+        if best.isEmpty():
+            break
+    return picks.select(F.col("g").alias(region), F.col("o.i").alias(ident), "pick")

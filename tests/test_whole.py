@@ -3,7 +3,9 @@
 import datetime
 import random
 
-from strophe.operators import kernels as K
+from pyspark.sql import functions as F
+
+from strophe.operators import kernels as K, sampling as R
 from strophe.plans import joins, models, sequences, statistics
 
 START = datetime.datetime(2024, 1, 1)
@@ -64,3 +66,29 @@ def test_pairs_of_all_folds(spark, tmp_path):
     spark.createDataFrame(rows, "item_id string, song_key string, region string, fold int, geo_level string").write.parquet(f"{tmp_path}/recordings.parquet")
     want = sorted((a[1], a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] and a[1:3] == b[1:3])
     assert sorted(tuple(r) for r in joins.pairs_in_groups_whole(spark, str(tmp_path)).collect()) == want
+
+
+def greedy(rows, n):
+    """rows: (region, rank, id, *values) in any order."""
+    out, picks, seen = [], {}, {}
+    for g, _, i, *values in sorted(rows, key=lambda r: r[1:3]):
+        mine = {(k, v) for k, v in enumerate(values) if v is not None}
+        if picks.get(g, 0) < n and not mine & seen.setdefault(g, set()):
+            picks[g] = picks.get(g, 0) + 1
+            seen[g] |= mine
+            out.append((g, i, picks[g]))
+    return sorted(out)
+
+
+def test_greedy_takes_rows_behind_a_hot_channel(spark):
+    # the eight best rows of s2 are all of the channel that s1 has taken
+    rows = [("r", 0, "a", "s1", "C", "p0")] + [("r", 1, f"b{i}", "s2", "C", f"p{i}") for i in range(8)] + [("r", 2, "c", "s2", "D", "q"), ("r", 3, "d", None, None, None), ("r", 4, "e", None, None, None)]
+    rng = random.Random(9)
+    for g in range(6):
+        rows += [(f"g{g}", rng.randrange(3), f"x{g}{i:03}", rng.choice(["s1", "s2", "s3", "s4", None]), rng.choice(["C"] * 9 + ["D", "E", "F", None]), rng.choice([f"p{rng.randrange(9)}", None])) for i in range(60)]
+    df = spark.createDataFrame(rows, "region string, rank int, id string, song string, ch string, singer string").repartition(5)
+    got = R.greedy_distinct(df, "region", [F.col("rank")], 8, ["song", "ch", "singer"], "id")
+    want = greedy(rows, 8)
+    assert sorted(tuple(r) for r in got.collect()) == want and ("r", "c", 2) in want
+    assert got.schema.simpleString() == "struct<region:string,id:string,pick:int>"
+    assert R.greedy_distinct(df.where("false"), "region", [F.col("rank")], 8, ["song", "ch", "singer"], "id").count() == 0
