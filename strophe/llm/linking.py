@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from strophe.operators.components import connected
 from strophe.llm.naming import Form, Rule, is_short_of, same_name
@@ -106,13 +107,13 @@ def link_forms(forms: DataFrame, kinds: dict[str, tuple[Parser, Rule]], n: int =
     return pairs.mapInPandas(judge, "id_a string, id_b string, sim double, short int")
 
 
-def average_linkage(n: int, pairs: list[tuple[int, int, float]], cut_at: float) -> list[int]:
+def average_linkage(n: int, pairs: list[tuple[int, int, float]], cut_at: float, sizes: list[int] | None = None) -> list[int]:
     """Cluster numbers of n items: the two clusters of highest mean similarity merge while it is at least cut_at.
-    Pairs not given count as 0. Ties merge the smallest numbers first."""
+    Pairs not given count as 0. Ties merge the smallest numbers first. sizes: of items that are clusters already, with mean similarities."""
     sim = np.zeros((n, n))
     for i, j, s in pairs:
         sim[i, j] = sim[j, i] = max(s, sim[i, j])
-    size = np.ones(n)
+    size = np.ones(n) if sizes is None else np.array(sizes, float)
     alive = np.ones(n, bool)
     label = np.arange(n)
     np.fill_diagonal(sim, -1)
@@ -133,35 +134,28 @@ def average_linkage(n: int, pairs: list[tuple[int, int, float]], cut_at: float)
     return label.tolist()
 
 
+def _loose(rule: Rule) -> Rule:
+    """The loosest rule that still compares: twice the edits of a link, each counted by its share of the name."""
+    return Rule(rule.syllable_edits * 2 if rule.syllable_edits else 0, rule.letter_edits * 2 + (4 if rule.syllable_edits else 0), rule.turned, rule.short_first, rule.least)
+
+
 def cluster_links(links: DataFrame, forms: DataFrame, kinds: dict[str, tuple[Parser, Rule]], cut_at: float = 0.4, most: int = 3000) -> DataFrame:
     """``(id, cluster)`` of linked forms: average linkage within each component of the links.
 
     Similarities of all pairs of a component are computed from the names, so a pair that no link joined counts with
-    what it is worth. A component of more than ``most`` forms is not taken into one task: its links of least
-    similarity are dropped step by step until its parts fit (they are clusters at a higher cut).
+    what it is worth. A component of more than ``most`` forms is not taken into one task: its pairs are computed in blocks
+    and its clusters merged in rounds, until no more than ``most`` are left that can still merge.
     """
-    links = links.where("short = 0").select("id_a", "id_b", "sim", (1 - F.col("sim")).alias("gap"))
-    floor, done = 0.0, None
-    live = links
-    while True:
-        comp = cut(connected(live, "id_a", "id_b"))
-        sizes = comp.groupBy("root").agg(F.count("*").alias("n"))
-        big = sizes.where(F.col("n") > most).select("root")
-        fits = comp.join(sizes.where(F.col("n") <= most).select("root"), "root")
-        done = fits if done is None else done.unionAll(fits)
-        floor += 0.05 if floor else 0.8
-        if floor >= 1 or big.isEmpty():
-            break
-        live = live.join(comp.join(big, "root").select(F.col("node").alias("id_a")), "id_a").where(F.col("sim") > floor)
-    member = done.join(forms.select(F.col("id").alias("node"), "field", "parts", "latin"), "node")
+    comp = cut(connected(links.where("short = 0"), "id_a", "id_b"))
+    sizes = comp.groupBy("root").agg(F.count("*").alias("n"))
+    names = forms.select(F.col("id").alias("node"), "field", "parts", "latin")
+    member = comp.join(sizes.where(F.col("n") <= most).select("root"), "root").join(names, "node")
 
     def cluster(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("node", ignore_index=True)
-        rule = kinds[g["field"][0]][1]
+        loose = _loose(kinds[g["field"][0]][1])
         parts = [json.loads(x) for x in g["parts"]]
         sims = []
-        # the loosest rule that still compares: twice the edits of a link, each counted by its share of the name
-        loose = Rule(rule.syllable_edits * 2 if rule.syllable_edits else 0, rule.letter_edits * 2 + (4 if rule.syllable_edits else 0), rule.turned, rule.short_first, rule.least)
         for i in range(len(g)):
             for j in range(i + 1, len(g)):
                 s = same_name(parts[i], g["latin"][i], parts[j], g["latin"][j], loose)
@@ -171,7 +165,82 @@ def cluster_links(links: DataFrame, forms: DataFrame, kinds: dict[str, tuple[Par
         first: dict[int, str] = {}
         return pd.DataFrame({"id": g["node"], "cluster": [first.setdefault(x, g["node"][i]) for i, x in enumerate(labels)]})
 
-    return member.repartition(parallelism(forms.sparkSession), "root").groupBy("root").applyInPandas(cluster, "id string, cluster string")
+    out = member.repartition(parallelism(forms.sparkSession), "root").groupBy("root").applyInPandas(cluster, "id string, cluster string")
+    big = sizes.where(F.col("n") > most)
+    if big.isEmpty():
+        return out
+    # large components and their forms by number, forms in the order of their ids
+    big = cut(big.withColumn("r", F.row_number().over(Window.orderBy("root"))))
+    numbered = comp.join(big, "root").withColumn("c", F.row_number().over(Window.partitionBy("r").orderBy("node")))
+    numbered = cut(numbered.join(names, "node").select("r", "c", "n", "node", "field", "parts", "latin"))
+    labels = link_in_rounds(numbered.select("r", "c"), block_similarities(numbered, kinds), cut_at, most)
+    first = numbered.select("r", F.col("c").alias("label"), F.col("node").alias("cluster"))
+    return out.unionAll(numbered.select("r", "c", F.col("node").alias("id")).join(labels, ["r", "c"]).join(first, ["r", "label"]).select("id", "cluster"))
+
+
+def block_similarities(numbered: DataFrame, kinds: dict[str, tuple[Parser, Rule]], width: int = 400) -> DataFrame:
+    """``(r, a, b, s)``: all pairs a < b of a component with their similarity under the loose rule, where it is over 0.
+    numbered: (r, c, n, field, parts, latin). A task has two blocks of about ``width`` forms."""
+    blocks = F.ceil(F.col("n") / width)
+    f = numbered.withColumn("k", (F.col("c") % blocks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    f = f.select("r", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "c", "field", "parts", "latin")
+
+    def score(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("c", ignore_index=True)
+        loose = _loose(kinds[g["field"][0]][1])
+        i, j = int(g["i"][0]), int(g["j"][0])
+        items = [(int(c), json.loads(p), bool(la), int(k)) for c, p, la, k in zip(g["c"], g["parts"], g["latin"], g["k"])]
+        out = []
+        for m, (a, pa, la, ka) in enumerate(items):
+            for b, pb, lb, kb in items[m + 1 :]:
+                if i == j or ka != kb:
+                    s = same_name(pa, la, pb, lb, loose)
+                    if s > 0:
+                        out.append((int(g["r"][0]), a, b, s))
+        return pd.DataFrame(out, columns=["r", "a", "b", "s"])
+
+    return f.groupBy("r", "i", "j").applyInPandas(score, "r int, a int, b int, s double")
+
+
+def link_in_rounds(items: DataFrame, sims: DataFrame, cut_at: float, most: int) -> DataFrame:
+    """``(r, c, label)``: average linkage of the items (r, c) of each r; sims: (r, a, b, s), each pair a < b once, others count as 0.
+
+    Each round merges all pairs of clusters that are each other's best. A merged cluster is no nearer to a third than its nearer
+    half was, so the order of merges far apart does not matter and the clusters are those of average_linkage. Ties are decided
+    by the hash of a pair (by the smallest number, one cluster would take up the others one a round). Clusters without a partner at
+    cut_at are done. Once no r has more than ``most`` others, each r is finished in one task.
+    """
+    label = cut(items.withColumn("label", F.col("c")))
+    pairs = cut(sims.withColumn("t", F.xxhash64("r", "a", "b")))
+    while True:
+        size = label.groupBy("r", "label").agg(F.count("*").alias("n"))
+        n_of = lambda x: size.select("r", F.col("label").alias(x), F.col("n").alias(f"n{x}"))  # noqa: B023, E731
+        p = cut(pairs.join(n_of("a"), ["r", "a"]).join(n_of("b"), ["r", "b"]).withColumn("m", F.round(F.col("s") / F.col("na") / F.col("nb"), 12)))
+        ends = p.select("r", F.explode(F.array("a", "b")).alias("x"), F.struct("m", "t", "a", "b").alias("k"))
+        best = cut(ends.groupBy("r", "x").agg(F.max("k").alias("k")).where(F.col("k.m") >= cut_at))
+        # pairs of clusters that are done have no part in what follows
+        live = p.join(best.select("r", F.col("x").alias("a")), ["r", "a"]).join(best.select("r", F.col("x").alias("b")), ["r", "b"])
+        most_left = best.groupBy("r").agg(F.count("*").alias("left")).agg(F.max("left")).first()[0]
+        if most_left is None:
+            return label
+        if most_left <= most:
+            break
+        mutual = best.groupBy("r", "k.a", "k.b").agg(F.count("*").alias("both")).where("both = 2")
+        to = cut(mutual.select("r", F.col("b").alias("old"), F.col("a").alias("new")))
+        moved = lambda df, x: df.join(to.withColumnRenamed("old", x), ["r", x], "left").withColumn(x, F.coalesce("new", x)).drop("new")  # noqa: B023, E731
+        label = cut(moved(label, "label").select("r", "c", "label"))
+        live = moved(moved(live.select("r", "a", "b", "s", "t"), "a"), "b").where("a <> b")
+        pairs = live.groupBy("r", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"), F.max("t").alias("t"))
+
+    def finish(g: pd.DataFrame) -> pd.DataFrame:
+        sizes = dict(zip(g["a"].tolist(), g["na"].tolist())) | dict(zip(g["b"].tolist(), g["nb"].tolist()))
+        names = sorted(sizes)
+        at = {x: i for i, x in enumerate(names)}
+        got = average_linkage(len(names), [(at[a], at[b], m) for a, b, m in zip(g["a"].tolist(), g["b"].tolist(), g["m"].tolist())], cut_at, [sizes[x] for x in names])
+        return pd.DataFrame({"r": [int(g["r"].iloc[0])] * len(names), "label": names, "new": [names[x] for x in got]})
+
+    to = live.select("r", "a", "b", "na", "nb", "m").groupBy("r").applyInPandas(finish, "r int, label int, new int")
+    return label.join(to, ["r", "label"], "left").select("r", "c", F.coalesce("new", "label").alias("label"))
 
 
 def link_spellings(values: DataFrame, kinds: dict[str, tuple[Parser, Rule]], readings: Readings, n: int = 6, cosine: float = 0.15) -> DataFrame:
