@@ -1,12 +1,13 @@
 """Cells that hold several values: a quote-aware finite-state tokenizer.
 
 The states are: between values, inside a bare value, inside a quoted value, and
-after a closing quote. Escapes and the depth of brackets around the cell are
-tracked beside the state. A delimiter counts only outside quotes and unescaped.
+after a closing quote. Escapes and the depth of nested brackets are tracked beside
+the state. A delimiter counts only outside quotes, unescaped and at depth 0.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from strophe.functions.text import is_missing
 
 #: Opening quotes and what closes them.
 QUOTES = {'"': '"', "“": "”", "「": "」", "『": "』", "«": "»", "„": "“"}
-#: Brackets that may stand around a whole cell.
+#: Brackets that may nest, or stand around a whole cell.
 BRACKETS = {"[": "]", "【": "】", "［": "］", "{": "}", "(": ")", "（": "）"}
 #: Every list separator, and those that cannot be part of running text.
 LIST_SEPARATORS = ";；,，、|｜/\t\n\r"
@@ -26,18 +27,24 @@ _SPACE = " \t\n\r 　"
 
 
 def tokenize_cell(cell: str, separators: str) -> list[str]:
-    """The values of one cell, in order, trimmed, without quotes, brackets and escapes; empty ones dropped."""
+    """The values of one cell, in order, trimmed, without quotes, brackets around the cell and escapes; empty ones dropped.
+
+    A separator parts values only outside quotes, unescaped and at depth 0: what stands inside a pair of brackets of any kind
+    stays together, and its brackets are kept. A bracket without its partner is an ordinary character.
+    """
     text = cell.strip(_SPACE)
-    close = BRACKETS.get(text[:1])
-    if close and len(text) > 1 and text[-1] == close and _one_bracket(text, text[0], close):
-        text = text[1:-1]
+    pairs = _bracket_pairs(text) if any(b in text for b in BRACKETS) else {}
+    if pairs and pairs.get(0) == len(text) - 1:
+        text, pairs = text[1:-1], {a - 1: b - 1 for a, b in pairs.items() if a}
         if text.lstrip(_SPACE)[:1] in QUOTES:  # a written list of quoted values: commas part them in any field
             separators += ","
+    ends = set(pairs.values())
     out: list[str] = []
     buf: list[str] = []  # characters of the value so far
     keep = 0  # length of buf that trimming may not shorten (quoted or escaped characters)
     quote = ""  # the closing quote looked for, or empty
     quoted = False  # the value began with a quote that has closed
+    depth = 0  # pairs of brackets that are open
     i, n = 0, len(text)
 
     def emit() -> None:
@@ -69,6 +76,9 @@ def tokenize_cell(cell: str, separators: str) -> list[str]:
             else:
                 buf.append(ch)
                 keep = len(buf)
+        elif depth:
+            depth += (i in pairs) - (i in ends)
+            buf.append(ch)
         elif ch in separators:
             emit()
         elif not buf and not quoted and ch in _SPACE:
@@ -76,6 +86,7 @@ def tokenize_cell(cell: str, separators: str) -> list[str]:
         elif not buf and not quoted and ch in QUOTES and _closes(text, i, separators):
             quote = QUOTES[ch]
         else:
+            depth += i in pairs
             buf.append(ch)
         i += 1
     emit()
@@ -85,41 +96,60 @@ def tokenize_cell(cell: str, separators: str) -> list[str]:
 def _closes(text: str, start: int, separators: str) -> bool:
     """A quote opens a value only if a closing one follows that ends the value: then comes a separator or the end."""
     close = QUOTES[text[start]]
-    i, n = start + 1, len(text)
+    i, n = text.find(close, start + 1), len(text)
+    if i < 0:
+        return False
+    i = start + 1
     while i < n:
         if text[i] == "\\" and i + 1 < n:
             i += 2
             continue
         if text[i] == close:
-            if close == '"' and text[i + 1 : i + 2] == '"':
-                i += 2
+            i += 1
+            if close == '"' and text[i : i + 1] == '"':
+                i += 1
                 continue
-            rest = text[i + 1 :].lstrip("  　")
-            return not rest or rest[0] in separators
+            while i < n and text[i] in "  　":
+                i += 1
+            return i == n or text[i] in separators
         i += 1
     return False
 
 
-def _one_bracket(text: str, opening: str, closing: str) -> bool:
-    """True if the first bracket is closed by the last character and by none before it."""
-    depth, quote, i = 0, "", 0
+def _bracket_pairs(text: str) -> dict[int, int]:
+    """Opening to closing positions of the brackets that have a partner, outside quotes and unescaped."""
+    ends = LIST_SEPARATORS + "".join(BRACKETS.values())
+    pairs: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []  # the closing bracket looked for, and where its partner stands
+    waiting: Counter[str] = Counter()
+    quote, start, i = "", True, 0  # start: a value may begin here
     while i < len(text):
         ch = text[i]
         if ch == "\\":
+            start = False
             i += 2
             continue
         if quote:
-            quote = "" if ch == quote else quote
-        elif ch in QUOTES and (i == 0 or text[i - 1] in _SPACE or text[i - 1] in opening + LIST_SEPARATORS):
+            if ch == quote:
+                if quote == '"' and text[i + 1 : i + 2] == quote:
+                    i += 1
+                else:
+                    quote = ""
+        elif start and ch in QUOTES and _closes(text, i, ends):
             quote = QUOTES[ch]
-        elif ch == opening:
-            depth += 1
-        elif ch == closing:
-            depth -= 1
-            if not depth and i < len(text) - 1:
-                return False
+        elif ch in BRACKETS:
+            open_.append((BRACKETS[ch], i))
+            waiting[BRACKETS[ch]] += 1
+        elif waiting[ch]:
+            while True:  # what opened inside and never closed is ordinary text
+                closing, at = open_.pop()
+                waiting[closing] -= 1
+                if closing == ch:
+                    pairs[at] = i
+                    break
+        start = ch in LIST_SEPARATORS or ch in BRACKETS or (start and ch in _SPACE)
         i += 1
-    return depth == 0 or bool(quote)
+    return pairs
 
 
 def split_packed(df: DataFrame, key: str, fields: dict[str, str], least: int = 1) -> DataFrame:

@@ -15,12 +15,29 @@ def test_known_cells():
     assert t("flute\\, small\\; bone;b", LIST_SEPARATORS) == ["flute, small; bone", "b"]
     assert t("uploader: x, y troupe|album a/b", TEXT_SEPARATORS) == ["uploader: x, y troupe", "album a/b"]
     assert t('["a, b", "c; see d"]', TEXT_SEPARATORS) == ["a, b", "c; see d"]
-    assert t("(a; b) c", TEXT_SEPARATORS) == ["(a", "b) c"]
+    assert t("(a; b) c", TEXT_SEPARATORS) == ["(a; b) c"]
     assert t('a "quoted" word; b', TEXT_SEPARATORS) == ['a "quoted" word', "b"]
     assert t('"open; b', TEXT_SEPARATORS) == ['"open', "b"]
     assert t("", LIST_SEPARATORS) == [] and t(" ; ;", LIST_SEPARATORS) == [] and t("[]", LIST_SEPARATORS) == []
 
 
+def test_depth():
+    t = tokenize_cell
+    assert t("a (b; c); d", TEXT_SEPARATORS) == ["a (b; c)", "d"]
+    assert t("[[a; b]; c]", TEXT_SEPARATORS) == ["[a; b]", "c"]
+    assert t("[a; {b; (c; d)}]; e", TEXT_SEPARATORS) == ["[a; {b; (c; d)}]", "e"]
+    assert t("a (b; c", TEXT_SEPARATORS) == ["a (b", "c"] and t("a) b; c", TEXT_SEPARATORS) == ["a) b", "c"]
+    assert t("(a [b); c]; d", TEXT_SEPARATORS) == ["(a [b)", "c]", "d"]
+    assert t('x ("p)"; q); r', TEXT_SEPARATORS) == ['x ("p)"; q)', "r"]
+    assert t("a (b\\; c\\); d", TEXT_SEPARATORS) == ["a (b; c)", "d"]
+    assert t('["a]; b", "c"]', TEXT_SEPARATORS) == ["a]; b", "c"]
+    assert t("（甲；乙）；丙", LIST_SEPARATORS) == ["（甲；乙）", "丙"]
+    deep = "(" * 50_000
+    assert t(deep + "a;b" + ")" * 50_000, TEXT_SEPARATORS) == [deep[1:] + "a;b" + ")" * 49_999]
+    assert t(deep + "a;b", TEXT_SEPARATORS) == [deep + "a", "b"]
+    assert len(t(";".join(["“x"] * 50_000), TEXT_SEPARATORS)) == 50_000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(PLAIN, min_size=1, max_size=6), st.sampled_from([";", "；", ", ", "|", " / ", "\n", "、"]))
 def test_plain_round_trip(values, sep):
