@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
+import types
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The session's ``spark.checkpoint.dir`` decides. Only where it is unset (tests,
-    a laptop) a temporary folder is made and used.
+    The session's ``spark.checkpoint.dir`` decides. Where it is unset a session on one machine (tests, a laptop) gets a temporary
+    folder; on a cluster a folder of one machine would be lost with it, so this is an error.
     """
     sc = spark.sparkContext
     set_by_session = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,6 +24,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not set_by_session:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         set_by_session = tempfile.mkdtemp(prefix="strophe-ckpt-")
         atexit.register(shutil.rmtree, set_by_session, True)
     sc.setCheckpointDir(set_by_session)
@@ -44,3 +49,24 @@ def spread(df: DataFrame) -> DataFrame:
     A scan packs small files into few tasks; a CPU-bound kernel behind it would then use few cores.
     """
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, parallelism(df.sparkSession)))
+
+
+def even(df: DataFrame) -> DataFrame:
+    """Rows before a CPU-bound kernel over texts: as they come where the scan has cut them finely, else dealt out evenly.
+
+    A scan packs rows into few tasks of unequal work. Only where it has fewer than four tasks a core do the texts move at all; a table
+    larger than that needs no help.
+    """
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+
+
+def once(key: Hashable, make: Callable):
+    """What ``make`` gives, made once in this process. Functions travel to workers by value and bring their own globals along, so the
+    results are held by a module of their own; the last few keys are kept."""
+    held = sys.modules.setdefault("_strophe_held", types.ModuleType("_strophe_held")).__dict__.setdefault("made", {})
+    if key not in held:
+        while len(held) > 3:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
