@@ -10,7 +10,8 @@ go on in both texts, runs are extended over single altered tokens, and a stretch
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,9 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from strophe.functions.text import INVISIBLE, lookalike_table
-from strophe.session import spread
+from strophe.session import even, once
 
 _TOKEN = re.compile(r"[a-z0-9À-ɏ]+(?:'[a-z]+)?|[㐀-鿿]")
+_MARKS = r"[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]"
+_MARK = re.compile(_MARKS)
+_WITH_MARKS = re.compile(rf"(?s).{_MARKS}*")  # a character and its marks
 _FIRST_CODE = 0xE000  # codes start in the private use area and go on in the planes of private use
 
 
@@ -50,20 +54,48 @@ def fold_table(simplified: dict[int, str]) -> dict[int, str | None]:
             table[c] = None
     for c in range(ord("A"), ord("Z") + 1):
         table[c] = chr(c + 32)
+    table[0x130] = "i"  # the only character whose lower case is two
     return table
 
 
+def _composed(text: str, table: dict[int, str | None]) -> str:
+    """Accents composed, marks without a composed form dropped, compatibility forms (ligatures, enclosed letters) written out; what
+    they bring in is folded too."""
+    return _MARK.sub("", unicodedata.normalize("NFKC", text)).translate(table)
+
+
+def _is_composed(text: str) -> bool:
+    return unicodedata.is_normalized("NFKC", text) and not _MARK.search(text)
+
+
 def stream(text: str, table: dict[int, str | None]) -> list[str]:
     """Tokens of the folded text."""
-    return _TOKEN.findall(text.lower() if text.isascii() else text.translate(table).lower())
+    if text.isascii():
+        return _TOKEN.findall(text.lower())
+    folded = text.translate(table)
+    if not _is_composed(folded):
+        folded = _composed(folded, table)
+    return _TOKEN.findall(folded.lower())
 
 
 def stream_offsets(text: str, table: dict[int, str | None]) -> list[tuple[int, int]]:
-    """Start and end of each token in the original text."""
-    at = [i for i, ch in enumerate(text) if table.get(ord(ch), ch) is not None]
-    folded = "".join(x if (x := table.get(ord(text[i]), text[i])) is not None else "" for i in at)
-    low = "".join(c if len(c.lower()) != 1 else c.lower() for c in folded)
-    return [(at[m.start()], at[m.end() - 1] + 1) for m in _TOKEN.finditer(low)]
+    """Start and end of each token of ``stream`` in the original text.
+
+    The text is folded once, with the place of every folded character kept. A character and its combining marks are composed
+    as one, so what comes of them stands where they stood.
+    """
+    kept = [(i, x) for i, ch in enumerate(text) if (x := table.get(ord(ch), ch)) is not None]
+    folded = "".join(x for _, x in kept)
+    begins, ends = [i for i, _ in kept], [i + 1 for i, _ in kept]
+    if not _is_composed(folded):
+        parts, b, e = [], [], []
+        for m in _WITH_MARKS.finditer(folded):
+            to = _composed(m[0], table)
+            parts.append(to)
+            b += [begins[m.start()]] * len(to)
+            e += [ends[m.end() - 1]] * len(to)
+        folded, begins, ends = "".join(parts), b, e
+    return [(begins[m.start()], ends[m.end() - 1]) for m in _TOKEN.finditer(folded.lower())]
 
 
 class Index:
@@ -183,9 +215,10 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     table = fold_table(simplified)
     rows = [(r[0], r[1]) for r in items.select(item, item_text).where(F.col(item_text).isNotNull()).distinct().collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
+    run = uuid.uuid4().hex
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(shared.value, table, rule)
+        index = once(("leaks", run), lambda: Index(shared.value, table, rule))  # one automaton a worker, not one a task
         for b in batches:
             out = []
             for d, t in zip(b["doc"], b["text"]):
@@ -200,6 +233,6 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     doc_type, item_type = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     least = min(rule.words, rule.ideographs)
     d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.length("text") >= least)
-    found = d.mapInPandas(scan, f"doc {doc_type}, item {item_type}, length int, start int, end int")
+    found = even(d).mapInPandas(scan, f"doc {doc_type}, item {item_type}, length int, start int, end int")
     found = found.withColumnsRenamed({"doc": doc, "item": item}).distinct()
     return found if offsets else found.select(doc, item)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from strophe.llm.tokens import Encoder, encoder, vocabulary
-from strophe.session import cut, parallelism
+from strophe.session import cut, even, parallelism
 
 Partition = tuple[list[int], list[list[int]]]  # sums of the windows in use, largest first, and the items of each
 
@@ -110,7 +110,7 @@ def token_items(docs: DataFrame, doc: str, text: str, capacity: int, vocabulary_
             yield pd.DataFrame(rows, columns=["doc", "piece", "start", "end", "tokens"]).astype({c: "int32" for c in ("piece", "start", "end", "tokens")})
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInPandas(count, f"doc {kind}, piece int, start int, end int, tokens int")
+    return even(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))).mapInPandas(count, f"doc {kind}, piece int, start int, end int, tokens int")
 
 
 def pack_documents(docs: DataFrame, doc: str, text: str, capacity: int, vocabulary_name: str, folder: str, block: int = 2000) -> DataFrame:

@@ -1,8 +1,8 @@
 """Splitting oversized texts at natural boundaries, with an overlap between consecutive pieces.
 
-The hierarchy of boundaries is section, paragraph, line, sentence, clause, word, character. A piece is filled greedily:
-it ends at the last boundary of the strongest level that leaves it at least ``least`` full, and the next piece
-starts so many tokens earlier as the overlap says.
+Recursive separators: section, paragraph, line, sentence, clause, word, character. A piece is packed greedily with the parts of the
+text at the strongest level. The part that does not fit is opened, and its own parts are packed one level down, and so on
+until the piece is at least ``least`` full. The next piece starts so many tokens earlier as the overlap says.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from strophe.llm.tokens import Encoder, encoder, vocabulary
+from strophe.session import even
 
 _CLOSE = "[\"'”’」』）)\\]】》]*"
 #: Boundaries, strongest first: a piece may end where the match ends.
@@ -59,7 +60,7 @@ def split_text(text: str, limit: int, overlap: int, enc: Encoder, least: float =
             if top >= last:
                 b, level = last, "end"
             else:
-                b, level = _cut(cuts, usable, a, top, a + max(overlap + 1, int(room * least)))
+                b, level = _pack(cuts, usable, 0, a, last, top, a + max(overlap + 1, int(room * least)))
             n = enc.count(text[chars[a] : chars[b]])
             if n <= limit or room <= overlap + 8:
                 break
@@ -71,21 +72,24 @@ def split_text(text: str, limit: int, overlap: int, enc: Encoder, least: float =
         a = int(usable[np.searchsorted(usable, back, side="right") - 1])
 
 
-def _cut(cuts: list[np.ndarray], usable: np.ndarray, a: int, top: int, low: int) -> tuple[int, str]:
-    """The last boundary of the strongest level between low and top; else the last place between characters."""
-    for (name, _), c in zip(LEVELS, cuts):
-        k = int(np.searchsorted(c, top, side="right")) - 1
-        if k >= 0 and c[k] >= low:
-            return int(c[k]), name
-    k = int(np.searchsorted(usable, top, side="right")) - 1
-    b = int(usable[k])
-    if b <= a:
-        b = int(usable[k + 1])
-    return b, "character"
+def _pack(cuts: list[np.ndarray], usable: np.ndarray, level: int, a: int, b: int, top: int, low: int) -> tuple[int, str]:
+    """End of a piece in the unit from a to b: as many of its parts at this level as end by top; if that is not yet at low, the part
+    that did not fit is opened one level down. The last level is that of characters."""
+    if level == len(cuts):
+        k = int(np.searchsorted(usable, top, side="right")) - 1
+        return int(usable[k] if usable[k] > a else usable[k + 1]), "character"
+    ends = cuts[level]
+    first, past = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, top, side="right"))
+    end = int(ends[past - 1]) if past > first else a
+    if end >= low:
+        return end, LEVELS[level][0]
+    until = min(b, int(ends[past])) if past < len(ends) else b
+    return _pack(cuts, usable, level + 1, end, until, top, low)
 
 
 def split_documents(docs: DataFrame, doc: str, text: str, limit: int, overlap: int, vocabulary_name: str, folder: str) -> DataFrame:
-    """``(doc, piece, start, end, tokens, level, text)`` of the documents above the limit, whole texts, no shuffle.
+    """``(doc, piece, start, end, tokens, level, text)`` of the documents above the limit, whole texts; at most one shuffle, which evens out
+    the work of a table that the scan has cut coarsely.
 
     start and end are offsets in characters; level says where the piece was cut. Null, empty and short texts give no rows.
     Rows that repeat a document repeat its pieces.
@@ -101,4 +105,4 @@ def split_documents(docs: DataFrame, doc: str, text: str, limit: int, overlap: i
     kind = docs.schema[doc].dataType.simpleString()
     # a text has at most as many tokens as bytes
     long = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.octet_length("text") > limit)
-    return long.mapInPandas(split, f"doc {kind}, piece int, start int, end int, tokens int, level string, text string").withColumnRenamed("doc", doc)
+    return even(long).mapInPandas(split, f"doc {kind}, piece int, start int, end int, tokens int, level string, text string").withColumnRenamed("doc", doc)

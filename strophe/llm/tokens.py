@@ -8,14 +8,13 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import SparkSession
 
+from strophe.session import once
+
 #: Folder of the vocabulary files; a parameter of every query that counts tokens.
 VOCABULARIES = "/opt/tokenizers"
 #: Fixed value: the public pre-tokenizer pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 class Encoder:
     """A byte-level vocabulary with numpy views of its tokens' lengths."""
 
@@ -55,6 +54,4 @@ def vocabulary(spark: SparkSession, name: str, folder: str = VOCABULARIES):
 
 def encoder(name: str, data: bytes) -> Encoder:
     """One encoder a worker and vocabulary."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(data)
-    return _ENCODERS[name]
+    return once(("encoder", name, len(data)), lambda: Encoder(data))

@@ -94,6 +94,35 @@ def test_offsets():
     assert [t[a:b] for a, b in stream_offsets(t, table)] == ["A​Ｂc", "圖", "x", "Dеf"]
 
 
+def test_offsets_of_changed_lengths():
+    """Whatever folding does to the length of a text, tokens and their places agree with the original."""
+    table = fold_table({})
+    assert [c for c in map(chr, range(0x110000)) if len(c.lower()) != 1] == ["İ"]
+    cases = {
+        "İstanbul abc": ["İstanbul", "abc"], "I\u0307stanbul ab": ["I\u0307stanbul", "ab"], "ŉa b": ["ŉa", "b"], "the ﬁle, oﬃce": ["the", "ﬁle", "oﬃce"],
+        "cafe\u0301 x": ["cafe\u0301", "x"], "café x": ["café", "x"], "e\u200b\u0301t": ["e\u200b\u0301t"], "ＡＢ１２": ["ＡＢ１２"], "don’t": ["don’t"],
+    }
+    for t, want in cases.items():
+        assert [t[a:b] for a, b in stream_offsets(t, table)] == want, t
+        assert len(stream(t, table)) == len(want), t
+    assert stream("cafe\u0301 the ﬁle İb", table) == stream("café THE file ib", table)
+    rng = random.Random(7)
+    for _ in range(300):
+        t = "".join(rng.choice(["İ", "ﬁ", "e\u0301", "\u0301", "山", "圖", " ", "Ａ", "\u200b", "ŉ", "½", "x", "Σ", "가", "\n", "ǆ", "㍿", "🎵"]) for _ in range(40))
+        at = stream_offsets(t, table)
+        assert [x for a, b in at for x in stream(t[a:b], table)] == stream(t, table) or len(at) == len(stream(t, table)), t
+        assert all(a < b for a, b in at) and all(p[0] <= q[0] for p, q in zip(at, at[1:]))
+
+
+def test_leaks_of_changed_lengths(spark):
+    item = " ".join(WORDS[:30])
+    docs = [(i, head + item + " tail") for i, head in enumerate(["İstanbul ", "ﬁ ŉ ", "e\u0301 " * 50, "\u200b½㍿ "])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = find_leaks(d, "doc_id", "text", e, "item_id", "text", {}, offsets=True).collect()
+    assert len(got) == 4 and all(docs[r.doc_id][1][r.start : r.end] == item for r in got)
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
