@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strophe.functions.text import number_present
+from strophe.operators.skew import join_split
+from strophe.session import cut, parallelism
 
 EARTH_KM = 6371.0
 _BITS3 = 20  # bits per axis of a full code on the sphere
@@ -108,8 +110,9 @@ def near_keys(df: DataFrame, key: str, lon: str, lat: str, km: float) -> DataFra
     """Pairs ``(key_a, key_b)``, key_a < key_b, of distinct keys at most km apart: positions joined, then expanded."""
     members, pairs = near_positions(df, key, lon, lat, km)
     a, b = members.select(F.col("key").alias("a"), F.col("pos").alias("pos_a")), members.select(F.col("key").alias("b"), F.col("pos").alias("pos_b"))
-    apart = pairs.join(a, "pos_a").join(b, "pos_b").select("a", "b")
-    same = a.join(b, F.col("pos_a") == F.col("pos_b")).where("a < b").select("a", "b")
+    # a hot position is dealt over several tasks
+    apart = join_split(b, join_split(a, pairs, ["pos_a"]), ["pos_b"]).select("a", "b")
+    same = join_split(a, b.withColumnRenamed("pos_b", "pos_a"), ["pos_a"]).where("a < b").select("a", "b")
     return apart.where("a <> b").unionAll(same).select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
 
 
@@ -192,7 +195,9 @@ def inside_regions(points: DataFrame, key: str, lon: str, lat: str, shapes: Data
     rtype = shapes.schema[region].dataType
     schema = T.StructType([T.StructField(region, rtype), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("whole", T.BooleanType())])
     shift = 2 * (_BITS2 - bucket_level)
-    ranges = outlines.mapInPandas(cover, schema).withColumn("bucket", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))))
+    # one region a group of the shuffle, and covered once, though both branches below read the ranges
+    outlines = cut(outlines.repartition(parallelism(points.sparkSession), region))
+    ranges = cut(outlines.mapInPandas(cover, schema)).withColumn("bucket", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))))
 
     n = 1 << _BITS2
     ok = points.where(possible_position(F.col(lon), F.col(lat)) & F.col(key).isNotNull())
