@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from strophe.functions.text import is_missing, lookalike_table, visible
+from strophe.operators.skew import join_split
 from strophe.session import cut
 
 
@@ -29,8 +30,10 @@ def lookalike_classes(values: DataFrame) -> DataFrame:
 
 def lookalike_pairs(values: DataFrame) -> DataFrame:
     """``(field, value_a, value_b)``: all pairs of different raw values of one class, value_a < value_b by code point.
-    Only values that are not alone in their class enter the join."""
+    Only values that are not alone in their class enter the join,
+    and a class of very many values is dealt over several tasks."""
     c = lookalike_classes(values)
-    shared = c.groupBy("field", "canonical").agg(F.sort_array(F.collect_list("value")).alias("members")).where("size(members) > 1")
-    a = shared.select("field", F.posexplode("members").alias("i", "value_a"), "members")
-    return a.select("field", "value_a", F.explode(F.expr("slice(members, i + 2, size(members))")).alias("value_b"))
+    several = c.groupBy("field", "canonical").agg(F.count("*").alias("n")).where("n > 1").select("field", "canonical")
+    c = cut(c.join(several, ["field", "canonical"]))
+    a, b = c.withColumnRenamed("value", "value_a"), c.withColumnRenamed("value", "value_b")
+    return join_split(a, b, ["field", "canonical"]).where("value_a < value_b").select("field", "value_a", "value_b")

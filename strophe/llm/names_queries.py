@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strophe.llm.linking import link_spellings
 from strophe.llm.naming import Rule, parse_body, parse_singer, parse_song
 from strophe.llm.readings import Readings
+from strophe.operators.skew import join_split
+from strophe.session import cut
 
 KINDS = {
     "singer": (parse_singer, Rule(short_first=True)),
@@ -36,9 +38,9 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of spellings of each entity, expanded from its members at the very end."""
-    e = entities(spark, d)
+    e = cut(entities(spark, d))
     a, b = e.select("field", "entity", F.col("value").alias("name_a")), e.select("field", "entity", F.col("value").alias("name_b"))
-    return a.join(b, ["field", "entity"]).where("name_a < name_b").select("field", "name_a", "name_b")
+    return join_split(a, b, ["field", "entity"]).where("name_a < name_b").select("field", "name_a", "name_b")
 
 
 QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities}
