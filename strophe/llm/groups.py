@@ -41,26 +41,26 @@ def record_groups(df: DataFrame, record: str, keys: dict[str, Column]) -> DataFr
     return out.withColumnRenamed("record", record)
 
 
-def assign_splits(records: DataFrame, group: str, stratum: str, shares: dict[str, float], large: float = 0.05, bins: int = 4096) -> DataFrame:
+def assign_splits(records: DataFrame, group: str, stratum: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
     """``(group, split)``: whole groups to splits, so that records come near the shares overall and in each stratum.
 
-    A group counts in the stratum that most of its records have (of equal ones the one a hash picks). Groups above the share
-    ``large`` of their stratum go to the first split, which is the largest. All others get a bin by the hash of
-    their id; bins, taken in order, fill the small splits first and then the first one. Only bins are ordered:
-    at most ``bins`` rows a stratum, whatever the number of records. A null stratum is a stratum.
+    A group counts in the stratum that most of its records have (of equal ones the one a hash picks), and gets a bin by the
+    hash of its id. Every bin has its place in the ranges of its stratum: bins are put in the order of an exponential draw, made
+    from the bin, times their records, so bins of like size come in hash order and a bin that one large group fills comes late. The
+    ranges of the small splits lie first, that of the first, largest split last; a bin belongs to the range that holds its middle.
+    So a group too large for a small split nearly always lies in the large one, by its place and not by a bound on its size. Only bins
+    are ordered: at most ``bins`` rows a stratum, whatever the number of records. A null stratum is a stratum.
     """
     names = list(shares)
     per = records.groupBy(group, stratum).agg(F.count("*").alias("n"))
-    main = per.groupBy(group).agg(F.sum("n").alias("n"), F.max_by(stratum, F.struct("n", F.expr(f"hash({stratum})"))).alias("stratum"))
-    main = main.withColumn("bin", F.pmod(F.xxhash64(group), F.lit(bins)))
-    totals = main.groupBy(F.col("stratum").alias("s")).agg(F.sum("n").alias("total"))
-    g = main.join(totals, F.col("stratum").eqNullSafe(F.col("s"))).select(group, "n", "stratum", "bin", "total")
-    g = g.withColumn("big", F.col("n") > large * F.col("total"))
-    b = g.where("not big").groupBy("stratum", "bin", "total").agg(F.sum("n").alias("n"))
-    at = F.sum("n").over(Window.partitionBy("stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2
-    b = b.withColumn("share", at / F.col("total"))
+    main = per.groupBy(group).agg(F.sum("n").alias("n"), F.max_by(stratum, F.struct("n", F.md5(F.coalesce(stratum, F.lit(""))))).alias("stratum"))
+    main = main.withColumn("bin", F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 8), 16, 10).cast("long") % bins)
+    b = main.groupBy("stratum", "bin").agg(F.sum("n").alias("n"))
+    place = F.col("n") * -F.ln((F.col("bin") + 0.5) / bins)
+    w = Window.partitionBy("stratum")
+    at = F.sum("n").over(w.orderBy(place, "bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2
+    b = b.withColumn("share", at / F.sum("n").over(w))
     ends = [(names[i], sum(shares[x] for x in names[1 : i + 1])) for i in range(1, len(names))]
     choose = reduce(lambda acc, e: F.when(F.col("share") < e[1], e[0]).otherwise(acc), reversed(ends), F.lit(names[0]))
-    b = b.withColumn("split", choose).select(F.col("stratum").alias("s"), F.col("bin").alias("b"), "split")
-    out = g.join(b, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")) & ~F.col("big"), "left")
-    return out.select(group, F.coalesce("split", F.lit(names[0])).alias("split"))
+    b = b.select(F.col("stratum").alias("s"), F.col("bin").alias("b"), choose.alias("split"))
+    return main.join(b, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).select(group, "split")

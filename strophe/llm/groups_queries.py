@@ -39,10 +39,14 @@ def p7_splits(spark: SparkSession, d: str) -> DataFrame:
     return both.join(s, "group_id").select("item_id", "region", "group_id", "split")
 
 
-QUERIES = {"p7_found": p7_found, "p7_splits": p7_splits}
-SQL = {
-    "p7_found": """
-    WITH RECURSIVE r AS (SELECT DISTINCT item_id,
+def p7_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Per region and split the recordings and their share of the region: how near whole groups come to 80/10/10."""
+    s = p7_splits(spark, d).groupBy("region", "split").agg(F.count("*").alias("recordings"))
+    total = s.groupBy(F.col("region").alias("r")).agg(F.sum("recordings").alias("total"))
+    return s.join(total, F.col("region").eqNullSafe(F.col("r"))).select("region", "split", "recordings", (F.col("recordings") / F.col("total")).alias("share"))
+
+
+_GROUPS = """r AS (SELECT DISTINCT item_id,
         CASE WHEN channel_key LIKE '%:%' AND lower(trim(regexp_replace(channel_key, '^[^:]*:', ''))) NOT IN ('', 'na', 'nan', 'none', 'null', 'undefined', 'unknown')
               AND channel_key <> 'vidhub:UChundredvalleys00' THEN 'c' || channel_key END AS c,
         CASE WHEN singer_id NOT IN ('', 'NA', 'nan', 'None') THEN 's' || singer_id END AS s FROM recordings WHERE item_id IS NOT NULL),
@@ -51,6 +55,25 @@ SQL = {
     nodes AS (SELECT c AS n FROM r WHERE c IS NOT NULL UNION SELECT s FROM r WHERE s IS NOT NULL),
     reach(n, m) AS (SELECT n, n FROM nodes UNION SELECT reach.n, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.m),
     root AS (SELECT n, min(m) AS root FROM reach GROUP BY n),
-    g AS (SELECT r.item_id, root.root FROM r JOIN root ON root.n = coalesce(r.c, r.s))
-    SELECT item_id, min(item_id) OVER (PARTITION BY root) AS group_id FROM g QUALIFY count(*) OVER (PARTITION BY root) > 1""",
+    g AS (SELECT r.item_id, coalesce(root.root, 'i' || r.item_id) AS root FROM r LEFT JOIN root ON root.n = coalesce(r.c, r.s)),
+    grouped AS (SELECT item_id, min(item_id) OVER (PARTITION BY root) AS group_id, count(*) OVER (PARTITION BY root) AS size FROM g)"""
+
+_SPLITS = _GROUPS + """,
+    placed AS (SELECT item_id, min(region) AS region FROM recordings WHERE item_id IS NOT NULL GROUP BY item_id),
+    x AS (SELECT placed.item_id, region, group_id FROM placed JOIN grouped USING (item_id)),
+    per AS (SELECT group_id, region, count(*) AS n FROM x GROUP BY ALL),
+    main AS (SELECT group_id, sum(n) OVER (PARTITION BY group_id) AS n, region AS stratum, ('0x' || substr(md5(group_id), 1, 8))::BIGINT % 4096 AS bin
+             FROM per QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n DESC, md5(coalesce(region, '')) DESC) = 1),
+    b AS (SELECT stratum, bin, sum(n) AS n FROM main GROUP BY ALL),
+    ordered AS (SELECT stratum, bin, (sum(n) OVER (PARTITION BY stratum ORDER BY n * -ln((bin + 0.5) / 4096), bin ROWS UNBOUNDED PRECEDING) - n / 2)
+                       / sum(n) OVER (PARTITION BY stratum) AS share FROM b),
+    s AS (SELECT stratum, bin, CASE WHEN share < 0.1 THEN 'validation' WHEN share < 0.2 THEN 'test' ELSE 'train' END AS split FROM ordered),
+    splits AS (SELECT x.item_id, x.region, x.group_id, s.split FROM x JOIN main USING (group_id) JOIN s ON s.stratum IS NOT DISTINCT FROM main.stratum AND s.bin = main.bin)"""
+
+QUERIES = {"p7_found": p7_found, "p7_splits": p7_splits, "p7_balance": p7_balance}
+SQL = {
+    "p7_found": f"WITH RECURSIVE {_GROUPS} SELECT item_id, group_id FROM grouped WHERE size > 1",
+    "p7_splits": f"WITH RECURSIVE {_SPLITS} SELECT * FROM splits",
+    "p7_balance": f"""WITH RECURSIVE {_SPLITS} SELECT region, split, count(*) AS recordings, count(*) / sum(count(*)) OVER (PARTITION BY region) AS share
+        FROM splits GROUP BY region, split""",
 }

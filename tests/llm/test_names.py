@@ -8,7 +8,7 @@ from strophe.llm import names_queries, overlap_queries
 from strophe.llm.canonical import match_values, token_similarity, token_ways
 from strophe.llm.linking import average_linkage, candidate_pairs, form_vectors, link_spellings
 from strophe.llm.naming import Rule, parse_body, parse_singer, parse_song, same_name
-from strophe.llm.overlap import meets, merged_length, scan_block
+from strophe.llm.overlap import meets, merged_length, name_classes, near_keys, scan_block
 from strophe.llm.readings import Readings, cut_latin, edits
 
 CHARS = [("雪", "xue", "雪"), ("松", "song", "松"), ("椿", "chun", "椿"), ("素", "su", "素"), ("茹", "ru", "茹"), ("谣", "yao", "谣"), ("調", "diao", "调"), ("调", "diao", "调"), ("学", "xue", "学"), ("學", "xue", "学"), ("海", "hai", "海"), ("来", "lai", "来"),
@@ -123,10 +123,14 @@ def test_overlap(spark, readings):
         f = parse_song(k, readings)
         rows.append((k, train, ev, f.label + "\x1f" + f.letters, f.letters, f.label, json.dumps(f.parts, ensure_ascii=False), f.latin))
     df = spark.createDataFrame(rows, "key string, train boolean, eval boolean, id string, letters string, label string, parts string, latin boolean")
-    got = {tuple(r) for r in meets(df, rule).collect()}
+    got = {tuple(r) for r in meets(name_classes(df, rule)).collect()}
     both = {"学松椿素茹海", "xuesongchunsuruhai"}
     assert got == {(e, t) for e in ("学松椿素茹海", "学松素椿茹海") for t in both}
-    assert meets(df.where("false"), rule).count() == 0
+    assert meets(name_classes(df.where("false"), rule)).count() == 0
+    # neither shards nor blocks change what is found
+    sides = df.where("eval").dropDuplicates(["id"]), df.dropDuplicates(["id"])
+    want = {tuple(r) for r in near_keys(*sides, rule).collect()}
+    assert {tuple(r) for r in near_keys(*sides, rule, shard=1, block=2).collect()} == want and len(want) == 3
     assert scan_block(df.toPandas().head(0), df.toPandas(), rule, 5, 0.2) == []
 
 
