@@ -1,11 +1,13 @@
 """Free-entered values to entries of a reference list: token repair by edit distance, then soft TF-IDF.
 
-1. Each distinct value is cut into tokens, in one or more ways (written parents and places run together, or stand apart).
+1. Each distinct value is cut into parts, and each part into tokens, in one or more ways (parents and places run together).
 2. Each distinct token meets the reference vocabulary by edit distance: both sides are expanded to their forms with one
    letter (one syllable) left out, joined on equality, and the distance is then computed. No token is compared with
    all entries.
-3. The repaired tokens of one way are scored against complete entries (own name and the names of its parents) by soft
-   TF-IDF. An entry counts if its own name is among the tokens and every token is its own or a parent's name.
+3. The repaired tokens are scored against complete entries (own name and the names of its parents) by soft TF-IDF: the weights
+   are inverse entry frequencies, the norm of an entry is taken over the tokens that the value states. A parent that
+   is not stated must not count against an entry, or two places of one name would be told apart by the weights of parents
+   that nobody wrote. An entry counts if its own name is among the tokens and every token is its own or a parent's name.
 4. The best entry wins; equal ones are told apart by the stated parent; what stays open is reported as unmatched.
 """
 
@@ -50,13 +52,35 @@ def _runs(segment: str) -> list[str]:
     return [m for m in re.findall(rf"[^{KIND_CHARS}]+[{KIND_CHARS}]?|[{KIND_CHARS}]+", segment) if m]
 
 
-def token_ways(value: str, r: Readings, most: int = 40) -> list[list[tuple[str, str]]]:
-    """The ways to cut a value into tokens ``(name, kind)``; names are folded, without kind."""
+def _size(s: str) -> int:
+    """Length of a name as it may be written: an ideograph has up to six letters."""
+    return sum(6 if "㐀" <= c <= "鿿" else 1 for c in s)
+
+
+def _cuts(items: list[str], most: int, least: int, parts: int = 1) -> list[list[str]]:
+    """The ways to join consecutive items into 1 to 3 names, each of ``least`` items or more and of at most the size ``most``."""
+    out = [["".join(items)]] if _size("".join(items)) <= most else []
+    if parts < 3:
+        for i in range(least, len(items) - least + 1):
+            head = "".join(items[:i])
+            if _size(head) > most:
+                break
+            out += [[head, *rest] for rest in _cuts(items[i:], most, least, parts + 1)]
+    return out
+
+
+def token_ways(value: str, r: Readings, longest: int = 4) -> list[list[list[tuple[str, str]]]]:
+    """Per part of the value the ways to cut it into tokens ``(name, kind)``; names are folded, without kind.
+
+    A place has a name and two parents, so a part that is to mean one is at most three names run together. longest: ideographs
+    of the longest name of the reference list; misspelt it may have one more. A part longer than three such names has no way, and
+    its value no entry. Parts are independent of each other: their number has no bound, and ways are not multiplied out.
+    """
+    most = 6 * (longest + 1)
     s = r.fold(value)
     s = re.sub(r"[(\[]([^()\[\]]*)[)\]]", lambda m: " " if m[1].strip() in ASIDE else f"|{m[1]}|", s)
     s = re.sub(r"['’]", "", s)
-    fixed: list[tuple[str, str]] = []  # tokens of every way
-    open_: list[list[list[tuple[str, str]]]] = []  # per part its ways
+    out: list[list[list[tuple[str, str]]]] = []
     for part in re.split(r"[|,，、;；/·]+", s):
         part = _strip_words(part)
         if not part:
@@ -65,29 +89,22 @@ def token_ways(value: str, r: Readings, most: int = 40) -> list[list[tuple[str,
         if any(re.search(f"[{HAN}]", w) for w in words):
             if len(words) > 1 and all(len(w) == 1 for w in words):
                 words = ["".join(words)]
-            for w in words:
-                w = _strip_words(w)
-                pieces = _runs(w)
-                for p in pieces:
-                    kind = p[-1] if p[-1] in KIND_CHARS and len(p) > 1 else ""
-                    name = p[:-1] if kind else p
-                    ways = [[(name, kind)]]
-                    if len(name) >= 4:
-                        ways += [[(name[:i], ""), (name[i:], kind)] for i in range(2, len(name) - 1)]
-                    open_.append(ways)
+            for p in [p for w in words for p in _runs(_strip_words(w))]:
+                kind = p[-1] if p[-1] in KIND_CHARS and len(p) > 1 else ""
+                name = p[:-1] if kind else p
+                cut_names = _cuts(list(name), most, 2) if _size(name) <= 3 * most else []
+                out.append([[*((x, "") for x in c[:-1]), (c[-1], kind)] for c in cut_names])
+        elif sum(map(len, words)) > 3 * most + max(map(len, KIND_WORDS)):
+            out.append([])
         else:
             kind, whole = "", "".join(words)
             if len(words) > 1 and words[-1] in KIND_WORDS:
                 kind, words = KIND_WORDS[words[-1]], words[:-1]
-            ways = [[("".join(words), kind)]]
-            if kind and "".join(words) != whole:  # what looks like a kind may be the end of the name
+            ways = [[*((x, "") for x in c[:-1]), (c[-1], kind)] for c in _cuts(words, most, 1)]
+            if kind and "".join(words) != whole and _size(whole) <= most:  # what looks like a kind may be the end of the name
                 ways.append([(whole, "")])
-            ways += [[("".join(words[:i]), ""), ("".join(words[i:]), kind)] for i in range(1, len(words)) if len(words) <= 12]
-            open_.append(ways)
-    out = [fixed]
-    for ways in open_:
-        out = [a + b for a in out for b in ways][:most] if len(open_) <= 6 else [a + ways[0] for a in out]
-    return [w for w in out if w]
+            out.append(ways)
+    return out
 
 
 def _left_out(items: list[str]) -> list[str]:
@@ -154,16 +171,19 @@ def score_entries(values: DataFrame, entries: DataFrame, r: Readings) -> DataFra
     kind, within: id of the parent that a statement may name). An empty list of entries gives no rows.
     """
 
+    longest = entries.select(F.explode(F.array_append("parents", F.col("name"))).alias("stem")).agg(F.max(F.length("stem"))).first()[0] or 0
+
     def ways(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for f, v in zip(b["field"], b["value"]):
-                for w, tokens in enumerate(token_ways(v, r)):
-                    rows += [(f, v, w, len(tokens), i, t, k) for i, (t, k) in enumerate(tokens)]
-            yield pd.DataFrame(rows, columns=["field", "value", "way", "n", "pos", "token", "kind"]).astype({"way": "int32", "n": "int32", "pos": "int32"})
+                parts = token_ways(v, r, longest)
+                if all(parts):
+                    rows += [(f, v, len(parts), p, w, len(tokens), i, t, k) for p, ws in enumerate(parts) for w, tokens in enumerate(ws) for i, (t, k) in enumerate(tokens)]
+            yield pd.DataFrame(rows, columns=["field", "value", "parts", "part", "way", "n", "pos", "token", "kind"]).astype({c: "int32" for c in ("parts", "part", "way", "n", "pos")})
 
     distinct = values.where("value is not null").select("field", "value").distinct()
-    w = cut(spread(distinct).mapInPandas(ways, "field string, value string, way int, n int, pos int, token string, kind string"))
+    w = cut(spread(distinct).mapInPandas(ways, "field string, value string, parts int, part int, way int, n int, pos int, token string, kind string"))
     own = entries.select("field", "entry", F.col("name").alias("stem"), F.lit(True).alias("own"))
     parents = entries.select("field", "entry", F.explode("parents").alias("stem")).select("field", "entry", "stem", F.lit(False).alias("own"))
     bag = own.unionAll(parents).groupBy("field", "entry", "stem").agg(F.max("own").alias("own"))
@@ -173,20 +193,28 @@ def score_entries(values: DataFrame, entries: DataFrame, r: Readings) -> DataFra
     sims = cut(repair_tokens(w.select("token"), bag.select("stem"), r))
 
     met = w.join(sims, "token")
-    # entries whose own name is among the tokens of a way; only these are scored with their parents
-    cand = met.join(bag.where("own").select("field", "stem", "entry"), ["field", "stem"]).select("field", "value", "way", "entry").distinct()
-    scored = met.join(cand, ["field", "value", "way"]).join(bag, ["field", "entry", "stem"])
-    best = scored.groupBy("field", "value", "way", "n", "entry", "pos").agg(F.max(F.struct("sim", "w", "own", "kind")).alias("b"))
+    # entries whose own name is among the tokens of a value; only these are scored with their parents
+    cand = met.join(bag.where("own").select("field", "stem", "entry"), ["field", "stem"]).select("field", "value", "entry").distinct()
+    scored = met.join(cand, ["field", "value"]).join(bag, ["field", "entry", "stem"])
+    way = ["field", "value", "parts", "part", "way", "n", "entry"]
+    best = scored.groupBy(*way, "pos").agg(F.max(F.struct("sim", "w", "own", "kind")).alias("b"))
     # a written kind that is not that of the entry
     kinds = entries.select("field", "entry", F.col("kind").alias("own_kind"), "level", "within")
     best = best.join(kinds, ["field", "entry"])
     wrong = F.col("b.own") & (F.col("b.kind") != "") & (F.col("b.kind") != F.col("own_kind")) & (F.col("b.kind") != F.col("level"))
-    g = best.groupBy("field", "value", "way", "n", "entry", "within").agg(
-        F.count("*").alias("covered"), F.max("b.own").alias("own"),
-        (F.sum(F.col("b.sim") * F.pow("b.w", F.lit(2))) / F.sum(F.pow("b.w", F.lit(2)))).alias("score"),
-        F.max(wrong.cast("int")).alias("wrong"),
-    ).where("own and covered = n")
-    g = g.groupBy("field", "value", "entry", "within").agg(F.max(F.col("score") - 0.05 * F.col("wrong") - 0.001 * F.col("n")).alias("score"))
+    # a way counts where each of its tokens is the entry's name or a parent's
+    g = best.groupBy(*way, "within").agg(
+        F.count("*").alias("covered"), F.max("b.own").alias("own"), F.sum(F.col("b.sim") * F.pow("b.w", F.lit(2))).alias("met"),
+        F.sum(F.pow("b.w", F.lit(2))).alias("all"), F.max(wrong.cast("int")).alias("wrong"),
+    ).where("covered = n")
+    # each part takes its best way, and the parts together make the score
+    worth = F.col("met") / F.col("all") - 0.05 * F.col("wrong") - 0.001 * F.col("n")
+    g = g.groupBy("field", "value", "parts", "part", "entry", "within").agg(F.max_by(F.struct("met", "all", "wrong", "n", "own"), F.struct("own", worth)).alias("p"))
+    g = g.groupBy("field", "value", "parts", "entry", "within").agg(
+        F.count("*").alias("covered"), F.max("p.own").alias("own"), F.sum("p.met").alias("met"), F.sum("p.all").alias("all"),
+        F.max("p.wrong").alias("wrong"), F.sum("p.n").alias("n"),
+    ).where("own and covered = parts")
+    g = g.select("field", "value", "entry", "within", worth.alias("score"))
     return g.groupBy("field", "value").agg(F.collect_list(F.struct("score", "entry", "within")).alias("c"))
 
 
