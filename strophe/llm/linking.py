@@ -2,14 +2,15 @@
 
 1. Each distinct value is parsed once (Arrow batches); values of equal reading are one form.
 2. Forms become unit vectors of n-grams: of characters by their reading (pairs next to each other or with one between, so an
-   exchanged, added or lost character leaves most of them) and of letters (for slips of the keyboard), weighted by inverse document frequency over all forms; the root
-   of the weight is taken, so that what the many spellings of one well-known name share still counts.
-3. Pairs with cosine of at least ``cosine`` come from a join on prefix n-grams: of each vector, rarest
-   first, only so many that the rest has a norm under the threshold. Two vectors that reach the threshold
-   share such an n-gram, so nothing is lost, and frequent n-grams (the hot keys) are hardly ever in a prefix.
-   There is no top-n cut: every partner above the threshold stays.
-4. The name rule decides on each pair; linked forms are clustered within their component by average linkage.
-5. Other names given beside a name, and cut-short first parts that fit one entity only, join clusters.
+   exchanged, added or lost character leaves most of them) and of letters (for slips of the keyboard), weighted by inverse document
+   frequency over all forms; the root of the weight is taken, so that what the many spellings of one well-known name share still counts.
+3. Pairs that reach the cosine of their field come from a join on prefix n-grams: of each vector, rarest first, only so many
+   that the rest has a norm under the threshold. Two vectors that reach it share such an n-gram, so nothing is lost. What the
+   prefixes share and the norm of the rest bound the cosine; pairs that stay under are dropped before their vectors are
+   looked up. There is no top-n cut, since no number of spellings is the largest possible: every partner above the threshold stays.
+4. A pair is a link if it also passes an exact check, the name rule of its field (two brothers may share most of their n-grams).
+5. Forms that links connect are clustered by average linkage on their cosines; pairs under the threshold count as 0.
+6. Other names given beside a name, and cut-short first parts that fit one entity only, join clusters.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from strophe.operators.components import connected
+from strophe.operators.skew import join_split
 from strophe.llm.naming import Form, Rule, is_short_of, same_name
 from strophe.llm.readings import Readings
 from strophe.session import cut, parallelism, spread
@@ -46,13 +48,16 @@ def parse_values(values: DataFrame, kinds: dict[str, tuple[Parser, Rule]], readi
     return spread(values.select("field", "value").where("value is not null").distinct()).mapInPandas(parse, schema)
 
 
-def form_vectors(forms: DataFrame, n: int) -> DataFrame:
-    """Adds ``vec``: array of (df, gram, w), rarest first, w of unit norm. forms: (id, field, syllables, words, ...)."""
+def form_vectors(forms: DataFrame, kinds: dict[str, tuple[Parser, Rule]]) -> DataFrame:
+    """Adds ``vec``: array of (df, gram, w), rarest first, w of unit norm, and ``t``, the threshold of the field. forms: (id, field,
+    syllables, words, ...)."""
+    of_field = lambda pick: F.create_map(*[F.lit(x) for f, (_, rule) in kinds.items() for x in (f, pick(rule))])[F.col("field")]
+    forms = forms.withColumn("n", of_field(lambda r: r.letters)).withColumn("t", of_field(lambda r: r.cosine))
     # bigrams of neighbours and of those with one between; a name of one character is its own gram
     pairs = "transform(sequence(1, size(syllables) - {0}), i -> concat(syllables[i - 1], ' ', syllables[i + {0} - 1]))"
     by_character = f"case when size(syllables) > 2 then concat({pairs.format(1)}, {pairs.format(2)}) when size(syllables) = 2 then {pairs.format(1)} else syllables end"
     # a slip of the keyboard breaks a reading, but few of its letters; within words, since these may change places
-    by_letter = f"flatten(transform(words, w -> transform(sequence(1, greatest(1, length(w) - {n - 1})), i -> substring(w, i, {n}))))"
+    by_letter = "flatten(transform(words, w -> transform(sequence(1, greatest(1, length(w) - n + 1)), i -> concat('~', substring(w, i, n)))))"
     gram = F.expr(f"concat({by_character}, {by_letter})")
     g = forms.where("size(syllables) > 0").select("id", "field", F.explode(gram).alias("gram")).groupBy("id", "field", "gram").agg(F.count("*").alias("tf"))
     df = g.groupBy("field", "gram").agg(F.count("*").alias("df"))
@@ -62,49 +67,56 @@ def form_vectors(forms: DataFrame, n: int) -> DataFrame:
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
     v = v.withColumn("norm", norm)
     v = v.select("id", F.transform("vec", lambda x: F.struct(x["df"].alias("df"), x["gram"].alias("gram"), (x["w"] / F.col("norm")).alias("w"))).alias("vec"))
-    return forms.join(v, "id")
+    return forms.drop("n").join(v, "id")
 
 
-def candidate_pairs(vectors: DataFrame, cosine: float) -> DataFrame:
-    """Distinct ``(id_a, id_b)`` that may reach the cosine: equal field and label, and a common prefix n-gram."""
+def candidate_pairs(vectors: DataFrame) -> DataFrame:
+    """Distinct ``(h_a, h_b)`` that may reach their threshold: equal field and label, and enough in common in their prefixes.
+
+    h is a hash of the id; forms of equal hash are both looked up later. N-grams have one order (df, gram). What a pair shares outside
+    both prefixes lies in the rest of the vector whose prefix ends first, so it adds at most the norm of that rest.
+    """
     # state: (mass of squares so far, kept entries); an entry is kept while the mass before it leaves t^2 or more
     kept = F.expr(
-        f"aggregate(vec, named_struct('m', cast(0.0 as double), 'g', cast(array() as array<string>)), (acc, x) -> named_struct('m', acc.m + x.w * x.w, 'g', if(1 - acc.m >= {cosine * cosine - 1e-9}, array_append(acc.g, x.gram), acc.g)), acc -> acc.g)"
+        "aggregate(vec, named_struct('m', cast(0.0 as double), 'k', cast(0.0 as double), 'g', cast(array() as array<struct<gram:string,w:double>>)), "
+        "(acc, x) -> named_struct('m', acc.m + x.w * x.w, 'k', if(1 - acc.m >= t * t - 1e-9, acc.m + x.w * x.w, acc.k), "
+        "'g', if(1 - acc.m >= t * t - 1e-9, array_append(acc.g, struct(x.gram as gram, x.w as w)), acc.g)))"
     )
-    p = vectors.select("id", "field", "label", F.explode(kept).alias("gram"))
-    a, b = p.select(F.col("id").alias("id_a"), "field", "label", "gram"), p.select(F.col("id").alias("id_b"), "field", "label", "gram")
-    return a.join(b, ["field", "label", "gram"]).where("id_a < id_b").select("id_a", "id_b").distinct()
-
-
-def link_forms(forms: DataFrame, kinds: dict[str, tuple[Parser, Rule]], n: int = 6, cosine: float = 0.15) -> DataFrame:
-    """``(id_a, id_b, sim, short)``: pairs that the rule of their field accepts; short marks a cut-short first part."""
-    vectors = cut(form_vectors(forms, n))
-    grams = F.transform("vec", lambda x: x["gram"])
-    side = lambda s: vectors.select(F.col("id").alias(f"id_{s}"), "field" if s == "a" else F.lit(None).alias("_"), F.col("parts").alias(f"parts_{s}"), F.col("latin").alias(f"latin_{s}"), grams.alias(f"grams_{s}"), F.transform("vec", lambda x: x["w"]).alias(f"w_{s}")).drop("_")
-    pairs = candidate_pairs(vectors, cosine).join(side("a"), "id_a").join(side("b"), "id_b")
+    p = vectors.select(F.xxhash64("id").alias("h"), "field", "label", "t", kept.alias("p"))
+    p = p.select("h", "field", "label", "t", F.sqrt(F.greatest(1 - F.col("p.k"), F.lit(0.0))).alias("rest"), F.explode("p.g").alias("g"))
+    p = p.select("h", F.xxhash64("field", "label", "g.gram").alias("gram"), "t", "rest", "g.w")
+    # an n-gram of many forms is dealt over several tasks
+    a = p.select(F.col("h").alias("h_a"), "gram", "t", F.col("rest").alias("rest_a"), F.col("w").alias("w_a"))
+    b = p.select(F.col("h").alias("h_b"), "gram", F.col("rest").alias("rest_b"), F.col("w").alias("w_b"))
+    met = join_split(a, b, ["gram"]).where("h_a < h_b")
+    met = met.groupBy("h_a", "h_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("shared"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"), F.max("t").alias("t"))
+    return met.where("shared + rest >= t - 1e-9").select("h_a", "h_b")
+
+
+def similar_forms(forms: DataFrame, kinds: dict[str, tuple[Parser, Rule]]) -> DataFrame:
+    """``(id_a, id_b, cos, link, short)``: all pairs of at least the cosine of their field; link marks those that the rule accepts,
+    short (1 or 2) those of which one has a cut-short first part."""
+    vectors = cut(form_vectors(forms, kinds))
+    grams, weights = F.transform("vec", lambda x: F.xxhash64(x["gram"])), F.transform("vec", lambda x: x["w"].cast("float"))
+    side = lambda s: vectors.select(F.xxhash64("id").alias(f"h_{s}"), F.col("id").alias(f"id_{s}"), F.col("label").alias(f"label_{s}"), *([F.col("field"), F.col("t")] if s == "a" else [F.col("field").alias("field_b")]), F.col("parts").alias(f"parts_{s}"), F.col("latin").alias(f"latin_{s}"), grams.alias(f"grams_{s}"), weights.alias(f"w_{s}"))
+    pairs = candidate_pairs(vectors).join(side("a"), "h_a").join(side("b"), "h_b").where("field = field_b and label_a = label_b")
     # cosine of the pair: weights of common n-grams, looked up by position
     common = F.array_intersect("grams_a", "grams_b")
     dot = F.aggregate(common, F.lit(0.0), lambda acc, x: acc + F.element_at("w_a", F.array_position("grams_a", x).cast("int")) * F.element_at("w_b", F.array_position("grams_b", x).cast("int")))
-    pairs = pairs.withColumn("cos", dot).where(F.col("cos") >= cosine).select("id_a", "id_b", "field", "parts_a", "latin_a", "parts_b", "latin_b")
+    pairs = pairs.withColumn("cos", F.round(dot, 6)).where("cos >= t").select("id_a", "id_b", "field", "cos", "parts_a", "latin_a", "parts_b", "latin_b")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out = []
-            for ia, ib, f, pa, la, pb, lb in zip(*(p[c] for c in ("id_a", "id_b", "field", "parts_a", "latin_a", "parts_b", "latin_b"))):
+            for ia, ib, f, cos, pa, la, pb, lb in zip(*(p[c] for c in ("id_a", "id_b", "field", "cos", "parts_a", "latin_a", "parts_b", "latin_b"))):
                 rule, xa, xb = kinds[f][1], json.loads(pa), json.loads(pb)
-                s = same_name(xa, la, xb, lb, rule)
+                short = 0
                 if rule.short_first:
-                    if is_short_of(xa, xb):
-                        out.append((ia, ib, 0.0, 1))
-                        continue
-                    if is_short_of(xb, xa):
-                        out.append((ia, ib, 0.0, 2))
-                        continue
-                if s > 0:
-                    out.append((ia, ib, s, 0))
-            yield pd.DataFrame(out, columns=["id_a", "id_b", "sim", "short"])
+                    short = 1 if is_short_of(xa, xb) else 2 if is_short_of(xb, xa) else 0
+                out.append((ia, ib, cos, not short and same_name(xa, la, xb, lb, rule) > 0, short))
+            yield pd.DataFrame(out, columns=["id_a", "id_b", "cos", "link", "short"])
 
-    return pairs.mapInPandas(judge, "id_a string, id_b string, sim double, short int")
+    return pairs.mapInPandas(judge, "id_a string, id_b string, cos double, link boolean, short int")
 
 
 def average_linkage(n: int, pairs: list[tuple[int, int, float]], cut_at: float, sizes: list[int] | None = None) -> list[int]:
@@ -134,74 +146,40 @@ def average_linkage(n: int, pairs: list[tuple[int, int, float]], cut_at: float,
     return label.tolist()
 
 
-def _loose(rule: Rule) -> Rule:
-    """The loosest rule that still compares: twice the edits of a link, each counted by its share of the name."""
-    return Rule(rule.syllable_edits * 2 if rule.syllable_edits else 0, rule.letter_edits * 2 + (4 if rule.syllable_edits else 0), rule.turned, rule.short_first, rule.least)
-
-
-def cluster_links(links: DataFrame, forms: DataFrame, kinds: dict[str, tuple[Parser, Rule]], cut_at: float = 0.4, most: int = 3000) -> DataFrame:
-    """``(id, cluster)`` of linked forms: average linkage within each component of the links.
+def cluster_links(pairs: DataFrame, cut_at: float = 0.12, most: int = 3000) -> DataFrame:
+    """``(id, cluster)`` of linked forms: average linkage on the cosines within each component of the links.
 
-    Similarities of all pairs of a component are computed from the names, so a pair that no link joined counts with
-    what it is worth. A component of more than ``most`` forms is not taken into one task: its pairs are computed in blocks
-    and its clusters merged in rounds, until no more than ``most`` are left that can still merge.
+    pairs: (id_a, id_b, cos, link) of every pair above the threshold, linked or not; all others count as 0. A component of more
+    than ``most`` forms is not taken into one task: its clusters are merged in rounds, until no more than ``most`` are left
+    that can still merge. Both ways give the same clusters.
     """
-    comp = cut(connected(links.where("short = 0"), "id_a", "id_b"))
+    comp = cut(connected(pairs.where("link"), "id_a", "id_b"))
     sizes = comp.groupBy("root").agg(F.count("*").alias("n"))
-    names = forms.select(F.col("id").alias("node"), "field", "parts", "latin")
-    member = comp.join(sizes.where(F.col("n") <= most).select("root"), "root").join(names, "node")
+    # large components and their forms by number, forms in the order of their ids; numbers of small ones are not needed
+    a, b = comp.select(F.col("node").alias("id_a"), "root"), comp.select(F.col("node").alias("id_b"), F.col("root").alias("root_b"))
+    inside = cut(pairs.join(a, "id_a").join(b, "id_b").where("root = root_b").join(sizes, "root").select("root", "n", "id_a", "id_b", "cos"))
 
     def cluster(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("node", ignore_index=True)
-        loose = _loose(kinds[g["field"][0]][1])
-        parts = [json.loads(x) for x in g["parts"]]
-        sims = []
-        for i in range(len(g)):
-            for j in range(i + 1, len(g)):
-                s = same_name(parts[i], g["latin"][i], parts[j], g["latin"][j], loose)
-                if s > 0:
-                    sims.append((i, j, s))
-        labels = average_linkage(len(g), sims, cut_at)
-        first: dict[int, str] = {}
-        return pd.DataFrame({"id": g["node"], "cluster": [first.setdefault(x, g["node"][i]) for i, x in enumerate(labels)]})
-
-    out = member.repartition(parallelism(forms.sparkSession), "root").groupBy("root").applyInPandas(cluster, "id string, cluster string")
+        names = sorted(set(g["id_a"]) | set(g["id_b"]))
+        at = {x: i for i, x in enumerate(names)}
+        labels = average_linkage(len(names), [(at[x], at[y], s) for x, y, s in zip(g["id_a"], g["id_b"], g["cos"])], cut_at)
+        return pd.DataFrame({"id": names, "cluster": [names[x] for x in labels]})
+
+    small = inside.where(F.col("n") <= most)
+    out = small.repartition(parallelism(pairs.sparkSession), "root").groupBy("root").applyInPandas(cluster, "id string, cluster string")
     big = sizes.where(F.col("n") > most)
     if big.isEmpty():
         return out
-    # large components and their forms by number, forms in the order of their ids
-    big = cut(big.withColumn("r", F.row_number().over(Window.orderBy("root"))))
-    numbered = comp.join(big, "root").withColumn("c", F.row_number().over(Window.partitionBy("r").orderBy("node")))
-    numbered = cut(numbered.join(names, "node").select("r", "c", "n", "node", "field", "parts", "latin"))
-    labels = link_in_rounds(numbered.select("r", "c"), block_similarities(numbered, kinds), cut_at, most)
+    big = big.withColumn("r", F.row_number().over(Window.orderBy("root")))
+    numbered = cut(comp.join(big, "root").withColumn("c", F.row_number().over(Window.partitionBy("r").orderBy("node"))).select("r", "c", "node"))
+    number = lambda x: numbered.select("r", F.col("c").alias(x), F.col("node").alias(f"id_{x}"))
+    sims = inside.where(F.col("n") > most).join(number("a"), "id_a").join(number("b"), ["r", "id_b"])
+    sims = sims.select("r", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("cos").alias("s"))
+    labels = link_in_rounds(numbered.select("r", "c"), sims, cut_at, most)
     first = numbered.select("r", F.col("c").alias("label"), F.col("node").alias("cluster"))
     return out.unionAll(numbered.select("r", "c", F.col("node").alias("id")).join(labels, ["r", "c"]).join(first, ["r", "label"]).select("id", "cluster"))
 
 
-def block_similarities(numbered: DataFrame, kinds: dict[str, tuple[Parser, Rule]], width: int = 400) -> DataFrame:
-    """``(r, a, b, s)``: all pairs a < b of a component with their similarity under the loose rule, where it is over 0.
-    numbered: (r, c, n, field, parts, latin). A task has two blocks of about ``width`` forms."""
-    blocks = F.ceil(F.col("n") / width)
-    f = numbered.withColumn("k", (F.col("c") % blocks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    f = f.select("r", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "c", "field", "parts", "latin")
-
-    def score(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("c", ignore_index=True)
-        loose = _loose(kinds[g["field"][0]][1])
-        i, j = int(g["i"][0]), int(g["j"][0])
-        items = [(int(c), json.loads(p), bool(la), int(k)) for c, p, la, k in zip(g["c"], g["parts"], g["latin"], g["k"])]
-        out = []
-        for m, (a, pa, la, ka) in enumerate(items):
-            for b, pb, lb, kb in items[m + 1 :]:
-                if i == j or ka != kb:
-                    s = same_name(pa, la, pb, lb, loose)
-                    if s > 0:
-                        out.append((int(g["r"][0]), a, b, s))
-        return pd.DataFrame(out, columns=["r", "a", "b", "s"])
-
-    return f.groupBy("r", "i", "j").applyInPandas(score, "r int, a int, b int, s double")
-
-
 def link_in_rounds(items: DataFrame, sims: DataFrame, cut_at: float, most: int) -> DataFrame:
     """``(r, c, label)``: average linkage of the items (r, c) of each r; sims: (r, a, b, s), each pair a < b once, others count as 0.
 
@@ -243,7 +221,7 @@ def link_in_rounds(items: DataFrame, sims: DataFrame, cut_at: float, most: int)
     return label.join(to, ["r", "label"], "left").select("r", "c", F.coalesce("new", "label").alias("label"))
 
 
-def link_spellings(values: DataFrame, kinds: dict[str, tuple[Parser, Rule]], readings: Readings, n: int = 6, cosine: float = 0.15) -> DataFrame:
+def link_spellings(values: DataFrame, kinds: dict[str, tuple[Parser, Rule]], readings: Readings) -> DataFrame:
     """``(field, value, entity)``: distinct values that name something, with the id of the entity named.
 
     values: (field, value), other columns ignored, repeated rows and nulls allowed. kinds: field to parser and rule.
@@ -255,8 +233,8 @@ def link_spellings(values: DataFrame, kinds: dict[str, tuple[Parser, Rule]], rea
     best = F.max_by(F.struct("parts", "syllables", "words"), F.struct(F.length("parts"), F.col("parts"))).alias("b")
     forms = parsed.groupBy("id", "field", "label", "letters").agg(best, F.max("latin").alias("latin")).select("id", "field", "label", "letters", "b.parts", "b.syllables", "b.words", "latin")
     forms = cut(forms)
-    links = cut(link_forms(forms, kinds, n, cosine))
-    clusters = cluster_links(links, forms, kinds)
+    links = cut(similar_forms(forms, kinds))
+    clusters = cluster_links(links)
     cluster = cut(forms.join(clusters, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")))
 
     # a cut-short first part joins the one cluster it fits; where it fits several it stays alone

@@ -12,23 +12,23 @@ from dataclasses import dataclass, field
 from strophe.functions.text import MISSING_WORDS
 from strophe.llm.readings import HAN, Readings, edits
 
-# Words of the field. Unknown singers and songs, genres, notes beside a name.
-UNKNOWN = {"佚名", "无名氏", "未署名", "未名", "待定", "无", "不详", "未详", "无名", "无题", "未知", "不明", "众人", "集体", "群众", "待考", "unknown", "anonymous", "untitled", "various", "null", "none", "nan", "na", "n/a", "-", "?"}
-GENRES = ("短调", "长调", "田歌", "船歌", "渔歌", "茶歌", "酒歌", "山歌", "情歌", "牧歌", "小调", "号子", "童谣", "民歌", "小曲", "folk song", "folksong")
-SONG_ENDINGS = ("小唱", "号子", "xiaochang", "hao子", "haozi", "调", "谣", "曲")
-SONG_NOTES = ("片段", "选段", "节选", "全曲", "完整版", "现场版", "现场", "清唱", "另一唱法", "live", "excerpt", "fragment")
-SINGER_NOTES = ("演唱", "领唱", "独唱", "对唱", "合唱", "伴唱", "主唱", "老师", "先生", "女士", "歌手", "singer", "vocal", "vocals")
-OTHER_NAME = ("艺名", "人称", "又名", "原名", "本名", "别名", "外号", "a.k.a.", "aka", "stage name")
 DIGITS = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
-#: Kinds of bodies, each with its spellings; the longest spelling is tried first.
-BODY_KINDS = {
-    "archive": ("声像档案馆", "声像馆", "sound archive", "sa"),
-    "collection": ("音乐收藏", "乐藏", "music collection", "mc"),
-    "fieldclub": ("采风社", "采风", "field recording club", "frc"),
-    "hall": ("文化馆", "文馆", "culture hall", "ch"),
-    "troupe": ("民间艺术团", "民艺团", "folk art troupe", "fat"),
-    "choir": ("民歌合唱团", "民歌团", "folk song choir", "fsc"),
-}
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What a field of knowledge says beside names. A parameter of the parsers; an empty one makes every word part of the name."""
+
+    unknown: frozenset[str] = frozenset()  # words that stand for nobody and nothing
+    genres: tuple[str, ...] = ()  # words for a kind of work, which alone (or behind a place) name none
+    endings: tuple[str, ...] = ()  # words that may end a title and be left out
+    endings_by_syllable: tuple[tuple[str, ...], ...] = ()  # the same in Latin spelling
+    before: tuple[str, ...] = ()  # words that may stand before a title
+    notes: tuple[str, ...] = ()  # notes behind a title
+    roles: tuple[str, ...] = ()  # notes behind a person's name
+    other_name: tuple[str, ...] = ()  # words that introduce another name
+    suffixes: str = r"(?!)"  # pattern of what an account adds to a body's name
+    kinds: tuple[tuple[str, tuple[str, ...]], ...] = ()  # kinds of bodies, each with its spellings
 
 
 @dataclass
@@ -68,12 +68,12 @@ def is_missing(v: str | None) -> bool:
     return v is None or v in MISSING_WORDS
 
 
-def parse_song(v: str, r: Readings) -> Form | None:
+def parse_song(v: str, r: Readings, lex: Lexicon = Lexicon()) -> Form | None:
     """A song's name; None where it names none (missing, unknown, a bare genre with or without a place, a key with #)."""
     if is_missing(v):
         return None
     s = r.fold(v)
-    if not s or s in UNKNOWN:
+    if not s or s in lex.unknown:
         return None
     s = re.sub(r"[《》〈〉<>\"“”「」『』]", "", s).strip()
     number = None
@@ -83,7 +83,7 @@ def parse_song(v: str, r: Readings) -> Form | None:
         if m and numeral(next(g for g in m.groups() if g)) and m.start() > 1:
             number, s = numeral(next(g for g in m.groups() if g)), s[: m.start()]
         s = re.sub(r"[(（\[][^()（）\[\]]*[)）\]]\s*$", "", s).strip() or t
-        for w in SONG_NOTES:
+        for w in lex.notes:
             if s.endswith(w) and len(s) > len(w) + 2:
                 s = s[: -len(w)]
         s = s.strip(" ·-_,;:.")
@@ -91,15 +91,15 @@ def parse_song(v: str, r: Readings) -> Form | None:
             break
     if "#" in s:
         return None
-    for g in ("民歌",):
+    for g in lex.before:
         if s.startswith(g) and len(s) - len(g) >= 4:
             s = s[len(g) :]
     core = re.sub(r"[\s·\-_.,]", "", s)
-    for g in GENRES:
+    for g in lex.genres:
         if core.endswith(g.replace(" ", "")) and len(core) - len(g.replace(" ", "")) <= 2:
             return None
     body = s
-    for e in SONG_ENDINGS:
+    for e in lex.endings:
         if re.sub(r"[\s\-_]", "", body).endswith(e):
             # the ending may be spelt with spaces or marks between its letters
             cutn, k = len(e), len(body)
@@ -110,43 +110,43 @@ def parse_song(v: str, r: Readings) -> Form | None:
                 body = body[:k]
             break
     syl, latin = r.to_syllables(body)
-    for tail in (("xiao", "chang"), ("hao", "子"), ("hao", "zi"), ("diao",), ("yao",), ("qu",)):
+    for tail in lex.endings_by_syllable:
         if latin and body == s and len(syl) - len(tail) >= 4 and tuple(syl[-len(tail) :]) == tail:
             syl = syl[: -len(tail)]
             break
-    if not syl or r.fold("".join(syl)) in UNKNOWN:
+    if not syl or r.fold("".join(syl)) in lex.unknown:
         return None
     return Form("" if number is None else str(number), [syl], latin)
 
 
-def parse_singer(v: str, r: Readings) -> Form | None:
+def parse_singer(v: str, r: Readings, lex: Lexicon = Lexicon()) -> Form | None:
     """A person's name and the other names given beside it; None where it names nobody."""
     if is_missing(v):
         return None
     s = r.fold(v)
-    if not s or s in UNKNOWN:
+    if not s or s in lex.unknown:
         return None
     aliases: list[str] = []
 
     def beside(m: re.Match) -> str:
         inner = m[1].strip(" \"'“”")
-        for w in OTHER_NAME:
+        for w in lex.other_name:
             if inner.startswith(w):
                 inner = inner[len(w) :].strip(" :\"'“”")
-        if inner and inner not in SINGER_NOTES:
+        if inner and inner not in lex.roles:
             aliases.append(inner)
         return " "
 
     s = re.sub(r"[(\[]([^()\[\]]*)[)\]]", beside, s)
-    m = re.search(rf"[,，;]?\s*(?:{'|'.join(map(re.escape, OTHER_NAME))})\s*[:：]?\s*(.+)$", s)
+    m = re.search(rf"[,，;]?\s*(?:{'|'.join(map(re.escape, lex.other_name)) or '(?!)'})\s*[:：]?\s*(.+)$", s)
     if m and m.start() > 0:
         aliases.append(m[1].strip(" \"'“”"))
         s = s[: m.start()]
     s = s.strip(" ·,;:\"")
-    for w in SINGER_NOTES:
+    for w in lex.roles:
         if s.endswith(w) and len(s) > len(w) + 1:
             s = s[: -len(w)].strip(" ·,;:")
-    if s in UNKNOWN:
+    if s in lex.unknown:
         return None
     parts, latin = [], False
     for p in re.split(r"[·,，.]|\s+", s):
@@ -160,21 +160,20 @@ def parse_singer(v: str, r: Readings) -> Form | None:
     return Form("", parts, latin, given)
 
 
-def parse_body(v: str, r: Readings) -> Form | None:
+def parse_body(v: str, r: Readings, lex: Lexicon = Lexicon()) -> Form | None:
     """An uploading body: its kind and number must agree, its name may be spelt in variants."""
     if is_missing(v):
         return None
     s = r.fold(v)
-    if not s or s in UNKNOWN:
+    if not s or s in lex.unknown:
         return None
-    s = re.sub(r"\s*-\s*topic$", "", s)
-    s = re.sub(r"\s*(官方|official)\s*(频道|账号|channel)?$", "", s).strip()
+    s = re.sub(lex.suffixes, "", s).strip()
     number = ""
     m = re.search(rf"\bno\.?\s*([0-9]{{1,2}})|第{_N}", s)
     if m and (n := numeral(m[1] or m[2])):
         number, s = str(n), (s[: m.start()] + " " + s[m.end() :]).strip()
     kind = ""
-    spellings = sorted(((w, k) for k, ws in BODY_KINDS.items() for w in ws), key=lambda x: -len(x[0]))
+    spellings = sorted(((w, k) for k, ws in lex.kinds for w in ws), key=lambda x: -len(x[0]))
     for w, k in spellings:
         at = re.search(rf"\b{w}\b", s) if w.isascii() else re.search(w, s)
         if at and s != w:
@@ -194,6 +193,8 @@ class Rule:
     turned: bool = True  # parts may stand in another order
     short_first: bool = False  # the first part may be cut to its first syllable or letter
     least: int = 4  # syllables from which slips are allowed
+    letters: int = 4  # length of the letter n-grams by which forms are compared
+    cosine: float = 0.2  # from which similarity on two forms are compared at all
 
 
 def same_name(a: list[list[str]], a_latin: bool, b: list[list[str]], b_latin: bool, rule: Rule) -> float:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strophe.llm.linking import parse_values
-from strophe.llm.naming import Rule, parse_song
+from strophe.llm.names_queries import KINDS
 from strophe.llm.overlap import meets, name_classes
 from strophe.llm.readings import Readings
 from strophe.operators.skew import join_split
 from strophe.session import cut
 
-KEY = {"song_key": (parse_song, Rule(syllable_edits=2))}
+KEY = {"song_key": KINDS["song_name"]}  # a key is a song's name
 
 
 def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

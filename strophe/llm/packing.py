@@ -48,12 +48,13 @@ def difference(sizes: list[int], k: int) -> Partition:
     return heap[0][2] if heap else ([], [])
 
 
-def pack(sizes: list[int], capacity: int, slacks: tuple[float, ...] = (0.002, 0.005, 0.01, 0.02, 0.04, 0.08), least: float = 0.1) -> list[list[int]]:
+def pack(sizes: list[int], capacity: int, slacks: tuple[float, ...] = (0.002, 0.005, 0.01, 0.02, 0.04, 0.08), least: float = 0.1, plain: bool = False) -> list[list[int]]:
     """Windows of items, none above the capacity. Every size must be at most the capacity; sizes of 0 are packed too.
 
     As few windows as the total allows are differenced first. Windows that exceed the capacity mean another round:
     the fullest that fit are done (at the smallest slack that holds for a share ``least`` of all, or at the widest for any), the
-    items of the others are differenced again, over one window more whenever a round completes none.
+    items of the others are differenced again, over one window more whenever a round completes none. plain: all items are
+    differenced again over one window more until nothing exceeds the capacity; this leaves more room unused.
     """
     rest, out, extra = list(range(len(sizes))), [], 0
     while rest:
@@ -66,7 +67,7 @@ def pack(sizes: list[int], capacity: int, slacks: tuple[float, ...] = (0.002, 0.
             done = [capacity * (1 - slack) <= s <= capacity for s in sums]
             if sum(done) >= least * k:
                 break
-        if any(done):
+        if any(done) and not plain:
             out += [w for w, d in zip(windows, done) if d]
             rest = [i for w, d in zip(windows, done) if not d for i in w]
         else:

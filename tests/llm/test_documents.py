@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.llm.documents_queries import VOCABULARY
+from strophe.llm.documents_queries import QUERIES, VOCABULARY
 from strophe.llm.leakage import Index, Stretch, find_leaks, fold_table, stream, stream_offsets
 from strophe.llm.packing import cut_oversized, difference, pack, pack_documents
 from strophe.llm.pieces import split_documents, split_text
@@ -25,6 +25,8 @@ def test_difference_and_pack():
         sizes = [rng.randrange(0, top + 1) for _ in range(n)]
         w = pack(sizes, top)
         assert sorted(i for x in w for i in x) == list(range(n)) and all(sum(sizes[i] for i in x) <= top for x in w)
+        loose = pack(sizes, top, plain=True)
+        assert sorted(i for x in loose for i in x) == list(range(n)) and all(sum(sizes[i] for i in x) <= top for x in loose) and len(loose) >= len(w)
         sums, items = difference(sizes, max(1, n // 3))
         assert sorted(i for x in items for i in x) == list(range(n)) and sums == [sum(sizes[i] for i in x) for x in items]
     assert len(pack([5, 5, 5, 5], 10)) == 2 and max(difference([8, 7, 6, 5, 4], 2)[0]) <= 16
@@ -148,3 +150,26 @@ def test_leaks(spark):
     with pytest.raises(ValueError):
         find_leaks(d, "doc_id", "text", e, "item_id", "text", {}, most_chars=10)
     assert Index([], {}, Stretch()).stretches(["a"]) == {}
+
+
+def test_whole_documents(spark, data):
+    """Over the whole table: every character of every document in one container or in pieces that cover it, no limit exceeded."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    packed = QUERIES["p8_packed"](spark, data).collect()
+    room, parts = {}, {}
+    for r in packed:
+        room[r.container] = room.get(r.container, 0) + r.tokens
+        parts.setdefault(r.doc_id, []).append((r.piece, r.start, r.end))
+    assert max(room.values()) <= 2048 and set(parts) == set(docs)
+    assert all("".join(docs[d][a:b] for _, a, b in sorted(p)) == docs[d] for d, p in parts.items())
+    waste = QUERIES["p8_waste"](spark, data).first()
+    assert waste.containers == len(room) and waste.tokens == sum(room.values()) and abs(waste.waste - (1 - waste.tokens / 2048 / len(room))) < 1e-12
+    enc, pieces = Encoder(Path(VOCABULARIES, VOCABULARY).read_bytes()), {}
+    for r in QUERIES["p10_pieces"](spark, data).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == {d for d, t in docs.items() if enc.count(t) > 512}
+    for d, rows in pieces.items():
+        rows.sort(key=lambda r: r.piece)
+        assert [r.piece for r in rows] == list(range(len(rows))) and rows[0].start == 0 and rows[-1].end == len(docs[d])
+        assert all(r.tokens <= 512 and r.text == docs[d][r.start : r.end] and enc.count(r.text) == r.tokens for r in rows)
+        assert all(a.start < b.start < a.end < b.end for a, b in zip(rows, rows[1:]))

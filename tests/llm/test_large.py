@@ -1,10 +1,8 @@
 """Components that no single task takes are clustered as small ones are."""
 
-import json
 import random
 
 from strophe.llm.linking import average_linkage, cluster_links, link_in_rounds
-from strophe.llm.naming import Rule
 
 
 def test_rounds_equal_average_linkage(spark):
@@ -22,13 +20,19 @@ def test_rounds_equal_average_linkage(spark):
         assert got == {(r, c): x for r in want for c, x in enumerate(want[r])}
 
 
-def test_large_component_is_one_cluster(spark):
-    base = ["xue", "song", "chun", "su", "ru", "hai", "lai", "tian", "nan", "dong"]
-    names = [base] + [base[:k] + base[k + 1 :] for k in range(10)]
-    forms = spark.createDataFrame([(f"i{k:02}", "f", json.dumps([x]), False) for k, x in enumerate(names)], "id string, field string, parts string, latin boolean")
-    links = spark.createDataFrame([("i00", f"i{k:02}", 0.9, 0) for k in range(1, 11)], "id_a string, id_b string, sim double, short int")
-    kinds = {"f": (None, Rule(syllable_edits=2))}
-    small = sorted(tuple(r) for r in cluster_links(links, forms, kinds).collect())
-    assert len(small) == 11 and {c for _, c in small} == {"i00"}
+def test_large_components_equal_small_ones(spark):
+    """Every form of a component above the bound comes back, in the cluster it has below the bound."""
+    rng = random.Random(3)
+    rows = []
+    for c in range(3):
+        at = [rng.random() * 3 for _ in range(15)]
+        for a in range(15):
+            for b in range(a + 1, 15):
+                s = 1 - abs(at[a] - at[b]) / 2 + rng.random() * 1e-3
+                rows.append((f"c{c}-{a:02}", f"c{c}-{b:02}", round(s, 6), s > 0.55)) if s > 0.2 else None
+    pairs = spark.createDataFrame(rows, "id_a string, id_b string, cos double, link boolean")
+    small = sorted(tuple(r) for r in cluster_links(pairs, 0.4).collect())
+    linked = {x for a, b, _, link in rows if link for x in (a, b)}
+    assert {i for i, _ in small} == linked and 3 < len({c for _, c in small}) < len(linked)
     for most in (1, 5):
-        assert sorted(tuple(r) for r in cluster_links(links, forms, kinds, most=most).collect()) == small
+        assert sorted(tuple(r) for r in cluster_links(pairs, 0.4, most=most).collect()) == small

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from strophe.llm import names_queries, overlap_queries
 from strophe.llm.canonical import match_values, token_similarity, token_ways
-from strophe.llm.linking import average_linkage, candidate_pairs, form_vectors, link_spellings
-from strophe.llm.naming import Rule, parse_body, parse_singer, parse_song, same_name
+from strophe.llm.linking import average_linkage, candidate_pairs, form_vectors, link_spellings, similar_forms
+from strophe.llm.naming import Lexicon, Rule, parse_singer as bare_singer, parse_song as bare_song, same_name
 from strophe.llm.overlap import meets, merged_length, name_classes, near_keys, scan_block
 from strophe.llm.readings import Readings, cut_latin, edits
 
@@ -15,6 +15,8 @@ CHARS = [("雪", "xue", "雪"), ("松", "song", "松"), ("椿", "chun", "椿"),
          ("來", "lai", "来"), ("田", "tian", "田"), ("楠", "nan", "楠"), ("泰", "tai", "泰"), ("号", "hao", "号"), ("甜", "tian", "甜"), ("东", "dong", "东"), ("省", "sheng", "省"), ("县", "xian", "县"), ("市", "shi", "市"), ("莲", "lian", "莲"), ("雷", "lei", "雷"), ("图", "tu", "图"), ("圖", "tu", "图"),
          ("荷", "he", "荷"), ("潘", "pan", "潘"), ("塔", "ta", "塔"), ("区", "qu", "区"), ("禾", "he", "禾")]
 
+parse_singer, parse_song, parse_body = (names_queries.KINDS[f][0] for f in ("singer", "song_name", "channel"))
+
 
 @pytest.fixture(scope="module")
 def readings(spark):
@@ -45,6 +47,12 @@ def test_parsers(readings):
     assert a.label == "hall|2" and b.label == "hall|" and a.letters == b.letters
 
 
+def test_empty_lexicon(readings):
+    """Without words of the field every word is part of the name."""
+    assert bare_song("学松山歌", readings).letters == "xuesong山歌" and bare_song("NA", readings) is None
+    assert [len(p) for p in bare_singer("楠泰 海来田", readings, Lexicon()).parts] == [2, 3]
+
+
 def test_same_name():
     song, person = Rule(syllable_edits=2), Rule(short_first=True)
     base = [["xue", "song", "chun", "su", "ru", "hai"]]
@@ -76,11 +84,15 @@ def test_candidates_lose_nothing(spark):
     rng = random.Random(5)
     names = [[rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))] for _ in range(150)]
     forms = [(f"i{k}", "f", "", x, ["".join(x)], "[]", False) for k, x in enumerate(names)]
-    v = form_vectors(spark.createDataFrame(forms, "id string, field string, label string, syllables array<string>, words array<string>, parts string, latin boolean"), 3)
+    v = form_vectors(spark.createDataFrame(forms, "id string, field string, label string, syllables array<string>, words array<string>, parts string, latin boolean"), {"f": (None, Rule(letters=3, cosine=0.4))})
     vec = {r.id: {x.gram: x.w for x in r.vec} for r in v.collect()}
-    got = {(r.id_a, r.id_b) for r in candidate_pairs(v, 0.4).collect()}
+    h = {r.h: r.id for r in v.select("id", F.xxhash64("id").alias("h")).collect()}
+    pairs = candidate_pairs(v).collect()
+    got = {tuple(sorted((h[r.h_a], h[r.h_b]))) for r in pairs}
     want = {(a, b) for a in vec for b in vec if a < b and sum(w * vec[b].get(g, 0) for g, w in vec[a].items()) >= 0.4}
-    assert want and want <= got
+    assert want and want <= got and len(pairs) == len(got)
+    sims = {(tuple(sorted((r.id_a, r.id_b)))) for r in similar_forms(v.drop("vec", "t").withColumn("parts", F.lit('[["x"]]')), {"f": (None, Rule(letters=3, cosine=0.4))}).collect()}
+    assert sims == want
 
 
 def test_linking(spark, readings):
