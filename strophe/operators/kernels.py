@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Sequence
+from statistics import median
 
 import numpy as np
 
@@ -30,22 +32,20 @@ def indel_ratio(a: str, b: str) -> float:
 def align_local(query: Sequence[int], other: Sequence[int], match: int = 2, miss: int = -1, gap: int = -1, turns: int = 12, least: int = 8) -> float | None:
     """Best local alignment of two pitch sequences over all transpositions, as a share of a perfect one; null for short queries.
 
-    A row of the table is solved at once: the gaps along the row are a running maximum of the scores without them.
+    A row of the table is solved at once, for all transpositions: the gaps along the row are a running maximum of the scores without them.
     """
     if len(query) < least or not len(other):
         return None
     q, x = np.asarray(query) % turns, np.asarray(other) % turns
     steps = np.arange(1, len(x) + 1)
-    best = 0
-    for t in range(turns):
-        prev = np.zeros(len(x) + 1)
-        for v in (q + t) % turns:
-            s = np.where(x == v, match, miss)
-            cell = np.maximum(0, np.maximum(prev[:-1] + s, prev[1:] + gap))
-            cell = np.maximum(cell, np.maximum.accumulate(cell - gap * steps) + gap * steps)
-            prev = np.concatenate(([0.0], cell))
-            best = max(best, cell.max())
-    return float(best) / (match * len(q))
+    prev, best = np.zeros((turns, len(x) + 1)), 0.0
+    for v in q:
+        s = np.where(x == ((v + np.arange(turns)) % turns)[:, None], match, miss)
+        cell = np.maximum(0, np.maximum(prev[:, :-1] + s, prev[:, 1:] + gap))
+        cell = np.maximum(cell, np.maximum.accumulate(cell - gap * steps, axis=1) + gap * steps)
+        prev[:, 1:] = cell
+        best = max(best, float(cell.max()))
+    return best / (match * len(q))
 
 
 def align_global(a: Sequence[int], b: Sequence[int], free_ends: bool = False) -> tuple[float, list[tuple[int, int]]]:
@@ -57,9 +57,11 @@ def align_global(a: Sequence[int], b: Sequence[int], free_ends: bool = False) ->
     if not free_ends:
         cost[:, 0] = np.arange(n + 1)
     sub = np.minimum(np.abs(np.subtract.outer(np.asarray(a, float), np.asarray(b, float))), 2) / 2 if n and m else np.zeros((n, m))
+    steps = np.arange(m + 1)
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + sub[i - 1, j - 1], cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+        # without gaps in a first; then a gap may carry each cost to the right, one more a place
+        row = np.concatenate((cost[i, :1], np.minimum(cost[i - 1, :-1] + sub[i - 1], cost[i - 1, 1:] + 1)))
+        cost[i] = np.minimum.accumulate(row - steps) + steps
     i = int(np.argmin(cost[:, m])) if free_ends else n
     end, j, pairs = cost[i, m], m, []
     while j > 0 and (i > 0 or not free_ends) or i > 0 and not free_ends:
@@ -74,22 +76,29 @@ def align_global(a: Sequence[int], b: Sequence[int], free_ends: bool = False) ->
 
 
 def best_shift(a: Sequence[int], b: Sequence[int]) -> int:
-    """The transposition of b (0 to 11) whose pitch-class counts are nearest to those of a; of equal ones the smallest."""
-    ha, hb = (np.bincount(np.asarray(x, int) % 12, minlength=12).astype(float) for x in (a, b))
-    if not ha.sum() or not hb.sum():
+    """The transposition that brings b nearest to a: by pitch classes the one whose counts meet best (of equal ones the smallest),
+    then by whole octaves to the register of a."""
+    if not len(a) or not len(b):
         return 0
-    return int(np.argmin([round(float(np.abs(ha / ha.sum() - np.roll(hb / hb.sum(), s)).sum()), 12) for s in range(12)]))
+    of_a, of_b = Counter(int(x) % 12 for x in a), Counter(int(x) % 12 for x in b)
+    turn = max(range(12), key=lambda k: (sum(n * of_a[(pc + k) % 12] for pc, n in of_b.items()), -k))
+    return turn + 12 * round((median(a) - median(b) - turn) / 12)
 
 
-def agreement(a: Sequence[int], b: Sequence[int], most: int = 400) -> float | None:
-    """Share of aligned places of equal pitch class after the best transposition; null for fewer than four notes."""
-    a, b = list(a)[:most], list(b)[:most]
+def agreement(a: Sequence[int], b: Sequence[int], most: int = 400, inside: bool = False) -> float | None:
+    """Share of aligned places of equal pitch after the best transposition; null for fewer than four notes.
+
+    Only the first ``most`` notes of each are aligned. inside: b is sought within a, whose ends are free, and the share is of all
+    notes of b.
+    """
+    a, b = [int(x) for x in a[:most]], [int(x) for x in b[:most]]
     if min(len(a), len(b)) < 4:
         return None
-    s = best_shift(a, b)
-    x, y = [v % 12 for v in a], [(v + s) % 12 for v in b]
-    _, pairs = align_global(x, y)
-    return sum(x[i] == y[j] for i, j in pairs) / len(pairs) if pairs else None
+    turn = best_shift(a, b)
+    moved = [x + turn for x in b]
+    _, pairs = align_global(a, moved, inside)
+    equal = sum(a[i] == moved[j] for i, j in pairs)
+    return equal / len(b) if inside else equal / len(pairs) if pairs else None
 
 
 def match_one_to_one(edges: dict[int, list[int]]) -> dict[int, int]:

@@ -168,6 +168,26 @@ def test_kernels():
     assert cost == 1 and pairs == [(0, 0), (2, 1)]
     assert K.align_global([9, 9, 1, 2, 9], [1, 2], free_ends=True) == (0.0, [(2, 0), (3, 1)])
     assert K.agreement(q, [x + 5 for x in q]) == 1.0 and K.agreement([1, 2, 3], q) is None
+    # whole octaves are shifted, neighbours across the octave are a semitone apart, and a part may be sought inside
+    assert K.best_shift([60, 62, 64, 67], [38, 40, 42, 45]) == 22 and K.best_shift(q, [x - 24 for x in q]) == 24
+    assert K.agreement([71, 72, 71, 72, 71], [71, 72, 71, 72, 71]) == 1.0 and K.align_global([71, 60], [72, 60])[0] == 0.5
+    assert K.agreement([50, 52] + q + [40, 41, 43], q, inside=True) == 1.0 > K.agreement([50, 52] + q[::-1] + [40], q, inside=True)
+    rng = random.Random(9)
+    for _ in range(30):
+        a, b = ([rng.randrange(50, 60) for _ in range(rng.randrange(1, 9))] for _ in range(2))
+        best = {}
+
+        def cheapest(i, j):
+            if (i, j) not in best:
+                ways = [cheapest(i - 1, j) + 1] if i else []
+                ways += [cheapest(i, j - 1) + 1] if j else []
+                ways += [cheapest(i - 1, j - 1) + min(abs(a[i - 1] - b[j - 1]), 2) / 2] if i and j else []
+                best[i, j] = min(ways, default=0)
+            return best[i, j]
+
+        cost, pairs = K.align_global(a, b)
+        gaps = len(a) + len(b) - 2 * len(pairs)
+        assert cost == cheapest(len(a), len(b)) == gaps + sum(min(abs(a[i] - b[j]), 2) / 2 for i, j in pairs)
     rng = random.Random(9)
     for _ in range(30):
         g = {u: [v for v in range(6) if rng.random() < 0.3] for u in range(6)}
