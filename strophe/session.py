@@ -7,6 +7,7 @@ import shutil
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,11 +55,11 @@ def spread(df: DataFrame) -> DataFrame:
 def even(df: DataFrame) -> DataFrame:
     """Rows before a CPU-bound kernel over texts: as they come where the scan has cut them finely, else dealt out evenly.
 
-    A scan packs rows into few tasks of unequal work. Only where it has fewer than four tasks a core do the texts move at all; a table
-    larger than that needs no help.
+    A scan packs rows into few tasks of unequal work. Only where it has fewer than two tasks a core, so that cores would idle, do the
+    texts move at all; a table larger than that needs no help.
     """
-    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores)
 
 
 def once(key: Hashable, make: Callable):
@@ -70,3 +71,8 @@ def once(key: Hashable, make: Callable):
             held.pop(next(iter(held)))
         held[key] = make()
     return held[key]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that are written to be read again."""
+    return f"{checkpoint_dir(spark)}/files/{uuid.uuid4().hex}/{name}"

@@ -33,6 +33,24 @@ def parse_files(spark: SparkSession, path: str, parser: Callable[[bytes], Iterab
     return files.mapInPandas(run, out)
 
 
+def parse_column(df: DataFrame, key: str, content: str, parser: Callable[[bytes], Iterable[tuple]], schema: str) -> DataFrame:
+    """``(key, ...)``: as ``parse_files``, over a column of texts or bytes. A null content gives no row."""
+    fields = T._parse_datatype_string(schema)
+    out = T.StructType([T.StructField(key, df.schema[key].dataType), *fields, T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, data in zip(b[key], b[content]):
+                try:
+                    rows += [(k, *r, None) for r in parser(data.encode() if isinstance(data, str) else bytes(data))]
+                except Exception as e:
+                    rows.append((k, *[None] * len(fields), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=out.names, dtype=object)
+
+    return df.select(key, content).where(df[content].isNotNull()).mapInPandas(run, out)
+
+
 def decode(data: bytes) -> str:
     """Text of a file by its byte order mark, else UTF-8, else GBK."""
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
@@ -95,6 +113,12 @@ def parse_kern(data: bytes) -> list[tuple[float, float, int, int]]:
     return [(float(a), float(b), p, f) for a, b, p, f in out]
 
 
+def parse_kern_meters(data: bytes) -> list[tuple[int, str]]:
+    """``(n, meter)`` of the first spine in order; ``*MX`` is a free one (S-15)."""
+    found = (re.match(r"\*M(?:(\d+/\d+)|X)", line.split("\t")[0]) for line in decode(data).splitlines())
+    return [(n, m[1] or "free") for n, m in enumerate(m for m in found if m)]
+
+
 def parse_record_heads(data: bytes) -> list[tuple[str, str]]:
     """``(key, value)`` of lines like ``!!!KEY: value`` (S-19)."""
     return [(m[1], m[2].strip()) for m in re.finditer(r"^!!!([A-Za-z@]+)\d*:[ \t]*(.*)$", decode(data), re.M)]
@@ -170,7 +194,7 @@ def parse_textgrid(data: bytes) -> list[tuple[str, float, float, str]]:
         if tokens[i] != '"IntervalTier"':
             i += 1
             continue
-        name, count = tokens[i + 1][1:-1], int(float(tokens[i + 4]))
+        name, count = tokens[i + 1][1:-1].replace('""', '"'), int(float(tokens[i + 4]))
         i += 5
         for _ in range(count):
             out.append((name, float(tokens[i]), float(tokens[i + 1]), tokens[i + 2][1:-1].replace('""', '"')))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strophe.functions.columns import slug
 from strophe.operators.relational import replace_by_key
@@ -16,10 +16,11 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str], one_file: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], one_file: bool = False, header: bool = True) -> None:
     """Fixed column order and a header. One file only where that is asked for, for small results (K-02)."""
     out = df.select(*columns)
-    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    w = (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", header).option("escape", '"')
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, key: str, fmt: str = "parquet", per_file: int = 1_000_000) -> None:
@@ -86,3 +87,20 @@ def fill_template(text: str, values: Mapping[str, object]) -> str:
 def manifest_rows(items: DataFrame, layers: Sequence[str], exists: Column) -> DataFrame:
     """Item x layer and whether the file is there."""
     return items.withColumn("layer", F.explode(F.array(*[F.lit(x) for x in layers]))).withColumn("present", exists)
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file on whatever file system the path names (K-10)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def svg_bars(rows: Sequence[tuple[str, float]], width: int = 400, bar: int = 20) -> str:
+    """A bar chart as SVG text, bars in the order given, the longest over the whole width (K-12)."""
+    top = max((v for _, v in rows), default=0) or 1
+    lines = [f'<rect x="0" y="{i * bar}" width="{int(v * width / top)}" height="{bar - 2}"><title>{n}: {_cell(v)}</title></rect>' for i, (n, v) in enumerate(rows)]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{len(rows) * bar}">{"".join(lines)}</svg>'

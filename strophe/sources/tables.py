@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from strophe.operators.relational import conform, nan_to_null
+from strophe.operators.relational import nan_to_null
 
 #: What a text cell of a file may hold for "nothing".
 NA_TOKENS = ("", "NA", "N/A", "nan", "NaN", "NULL", "null", "None", "#N/A")
@@ -74,14 +74,50 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_excel(spark: SparkSession, path: str, schema: T.StructType, sheet: int | str = 0) -> DataFrame:
-    """A workbook, converted at the edge; needs the openpyxl package (S-09)."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs openpyxl; export the sheet as CSV instead") from e
-    pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
-    return conform(spark.createDataFrame(pdf.where(pdf.notna(), None), T.StructType([T.StructField(c, T.StringType()) for c in pdf.columns])), schema)
+def _cells(data: bytes, sheet: int) -> Iterator[list[str | None]]:
+    """Rows of texts of one sheet of a workbook, read from its parts."""
+    import zipfile
+    from xml.etree import ElementTree as ET
+
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    text = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared = [text(e) for e in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        names = sorted((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+        root = ET.fromstring(z.read(names[sheet]))
+    for row in (e for e in root.iter() if local(e) == "row"):
+        out: list[str | None] = []
+        for c in (e for e in row if local(e) == "c"):
+            at = 0
+            for ch in c.get("r", "").rstrip("0123456789"):
+                at = at * 26 + ord(ch) - 64
+            out += [None] * (at - 1 - len(out))
+            raw = next((e.text for e in c if local(e) == "v"), None)
+            kind = c.get("t")
+            out.append(shared[int(raw)] if kind == "s" else text(c) if kind == "inlineStr" else raw)
+        yield out
+
+
+def read_excel(spark: SparkSession, path: str, schema: T.StructType | str, sheet: int = 0, file_column: str | None = None) -> DataFrame:
+    """Workbooks, each read by a worker, with a given schema (S-09). The first row names the columns, which are found by name; cells of
+    no value are null. file_column: a column for the name of the file without its ending, where that is a value of its own."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names = [*schema.names, *([file_column] if file_column else [])]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, data in zip(b["path"], b["content"]):
+                rows = _cells(bytes(data), sheet)
+                head = next(rows, [])
+                got = [dict(zip(head, r)) for r in rows]
+                out = pd.DataFrame([[r.get(n) for n in schema.names] for r in got], columns=schema.names, dtype=object)
+                if file_column:
+                    out[file_column] = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                yield out
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    typed = [F.when(~F.col(f"`{f.name}`").isin(*NA_TOKENS), F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) for f in schema]
+    return raw.select(*typed, *([file_column] if file_column else []))
 
 
 def read_arrow(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
