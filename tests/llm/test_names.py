@@ -88,6 +88,7 @@ def test_candidates_lose_nothing(spark):
     vec = {r.id: {x.gram: x.w for x in r.vec} for r in v.collect()}
     h = {r.h: r.id for r in v.select("id", F.xxhash64("id").alias("h")).collect()}
     pairs = candidate_pairs(v).collect()
+    assert {tuple(r) for r in candidate_pairs(v, hot=3).collect()} == {tuple(r) for r in pairs}
     got = {tuple(sorted((h[r.h_a], h[r.h_b]))) for r in pairs}
     want = {(a, b) for a in vec for b in vec if a < b and sum(w * vec[b].get(g, 0) for g, w in vec[a].items()) >= 0.4}
     assert want and want <= got and len(pairs) == len(got)
