@@ -32,10 +32,18 @@ def logistic(train: DataFrame, test: DataFrame) -> DataFrame:
     return m.transform(test).select("id", vector_to_array("probability").alias("p"))
 
 
+def few(df: DataFrame, column: str, most: int = 100) -> list:
+    """The values of a column that is to have few; more than ``most`` are an error, never left out."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return [r[0] for r in rows]
+
+
 def cross_validate(df: DataFrame, ident: str, label: str, fold: str, features: Column, fit_predict: FitPredict = logistic) -> DataFrame:
     """``(id, p)`` of every row, predicted by a model that has not seen its fold. Folds are few; each is one fit over all other rows."""
     x = cut(df.select(F.col(ident).alias("id"), F.col(label).cast("double").alias("label"), F.col(fold).alias("fold"), array_to_vector(features.cast("array<double>")).alias("features")))
-    folds = [r[0] for r in x.select("fold").distinct().orderBy("fold").limit(100).collect()]
+    folds = few(x, "fold")
     return reduce(DataFrame.unionAll, [fit_predict(x.where(F.col("fold") != f), x.where(F.col("fold") == f)) for f in folds])
 
 
@@ -133,7 +141,7 @@ def stack(df: DataFrame, ident: str, label: str, fold: str, views: Sequence[Colu
 def nested_selection(df: DataFrame, ident: str, label: str, fold: str, features: Column, grid: Sequence[float]) -> DataFrame:
     """``(fold, chosen, accuracy)``: the strength is chosen on inner halves of the training rows only."""
     x = cut(_features(df, ident, label, features, fold))
-    folds = [r[0] for r in x.select(fold).distinct().orderBy(fold).limit(100).collect()]
+    folds = few(x, fold)
     right = lambda m, t: m.transform(t).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
     rows = []
     for f in folds:
@@ -150,7 +158,7 @@ def two_stage(df: DataFrame, ident: str, coarse: str, fine: str, held: str, feat
     train, test = x.where(~F.col(held)), x.where(F.col(held))
     route = _fit(train.select("id", F.col("coarse").alias("label"), "features")).transform(test.select("id", "features")).select("id", F.col("prediction").alias("route"))
     test = cut(test.join(route, "id"))
-    classes = [r[0] for r in train.select("coarse").distinct().orderBy("coarse").limit(100).collect()]
+    classes = few(train, "coarse")
     out = [_fit(train.where(F.col("coarse") == c)).transform(test.where(F.col("route") == c)).select(F.col("id").alias(ident), F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("guess")) for c in classes]
     return reduce(DataFrame.unionAll, out)
 

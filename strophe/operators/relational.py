@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from strophe.operators.ordered import number_rows
+from strophe.operators.skew import join_split
 
 
 def conform(df: DataFrame, schema: T.StructType, extras: bool = False) -> DataFrame:
@@ -109,10 +110,10 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def pairs_within(df: DataFrame, group: Sequence[str], ident: str, columns: Sequence[str] = ()) -> DataFrame:
-    """Pairs ident_a < ident_b of one group. For groups of bounded size: the result has a row per pair."""
+    """Pairs ident_a < ident_b of one group: the result has a row per pair. A group of very many rows is dealt over several tasks."""
     a = df.select(*group, *[F.col(c).alias(f"{c}_a") for c in (ident, *columns)])
     b = df.select(*group, *[F.col(c).alias(f"{c}_b") for c in (ident, *columns)])
-    return a.join(b, list(group)).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
+    return join_split(a, b, list(group)).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, on: Sequence[str], width: float, a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 
-def exact_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, block: int = 50_000) -> DataFrame:
+def exact_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, block: int = 10_000, tile: int = 1_000) -> DataFrame:
     """``(query, neighbour, cosine)``: the k most similar rows of base for every query, not itself; of equal ones the smallest key.
 
     Queries travel in blocks of at most ``block`` vectors (the bound of what is broadcast); every batch of base keeps its best k
-    for each query, so what is shuffled is k rows a query and batch. Null and zero vectors have no neighbours.
+    for each query, so what is shuffled is k rows a query and batch; ``tile`` queries at a time meet a batch. Null and zero vectors have no neighbours.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
     total = q.count()
@@ -37,12 +37,15 @@ def exact_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str,
                 v = np.stack([np.asarray(x, dtype=np.float64) for x in b["v"]])
                 n = np.linalg.norm(v, axis=1)
                 v, bk = v[n > 0] / n[n > 0][:, None], b["k"].to_numpy()[n > 0]
-                sim = qn @ v.T
-                take = min(k + 1, sim.shape[1])
                 rows = []
-                for j in range(len(qk)):
-                    order = np.lexsort((bk, -np.round(sim[j], 9)))[: take]
-                    rows += [(qk[j], bk[x], float(sim[j, x])) for x in order if bk[x] != qk[j]][:k]
+                for at in range(0, len(qn), tile):  # bounds the matrix of similarities that is held at once
+                    sim = np.round(qn[at : at + tile] @ v.T, 9)
+                    # all that reach the (k + 1)-th value, ties too, are ordered
+                    least = np.partition(sim, -(k + 1), axis=1)[:, -(k + 1)] if sim.shape[1] > k + 1 else np.full(len(sim), -2.0)
+                    for j in range(len(sim)):
+                        near = np.flatnonzero(sim[j] >= least[j])
+                        near = near[np.lexsort((bk[near], -sim[j, near]))]
+                        rows += [(qk[at + j], bk[x], float(sim[j, x])) for x in near if bk[x] != qk[at + j]][:k]
                 yield pd.DataFrame(rows, columns=["query", "neighbour", "cosine"])
 
         got = base.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(best, f"query {kind}, neighbour {kind}, cosine double")

@@ -104,17 +104,10 @@ def first_keyword(spark: SparkSession, d: str) -> DataFrame:
     return recordings(spark, d, "title").select("item_id", F.try_element_at(found, F.lit(1)).alias("key")).where("key is not null")
 
 
-@Q(f"SELECT a.song_key, a.item_id AS item_id_a, b.item_id AS item_id_b FROM {REC} a JOIN {REC} b ON a.song_key = b.song_key AND a.region = b.region AND a.item_id < b.item_id WHERE a.fold = 3 AND b.fold = 3 AND a.geo_level = 'site' AND b.geo_level = 'site'")
-def pairs_in_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of recordings of one song and region, among the sites of a fold (J-15)."""
-    r = recordings(spark, d, "song_key", "region", "fold", "geo_level").where("fold = 3 and geo_level = 'site'")
-    return pairs_within(r, ["song_key", "region"], "item_id").select("song_key", "item_id_a", "item_id_b")
-
-
 @Q(f"SELECT a.song_key, a.item_id AS item_id_a, b.item_id AS item_id_b FROM {REC} a JOIN {REC} b ON a.song_key = b.song_key AND a.region = b.region AND a.item_id < b.item_id")
-def pairs_in_groups_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of recordings of one song and region, over all folds and levels (J-15)."""
-    r = recordings(spark, d, "song_key", "region", "fold", "geo_level")
+def pairs_in_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of recordings of one song and region (J-15); a hot song is dealt over several tasks."""
+    r = recordings(spark, d, "song_key", "region")
     return pairs_within(r, ["song_key", "region"], "item_id").select("song_key", "item_id_a", "item_id_b")
 
 
@@ -196,12 +189,12 @@ def set_overlap(spark: SparkSession, d: str) -> DataFrame:
     return g(recordings(spark, d, "song_key", "province"), "a").join(g(table(spark, d, "scores"), "b"), "song_key").select("song_key", F.arrays_overlap("a", "b").alias("same_province"))
 
 
-@Q(f"""WITH s AS (SELECT song_key, string_agg(item_id, '; ' ORDER BY item_id) AS ids FROM {REC} WHERE song_key IS NOT NULL AND geo_level = 'site' GROUP BY song_key), x AS (SELECT song_key, unnest(string_split(ids, '; ')) AS item_id FROM s)
+@Q(f"""WITH s AS (SELECT song_key, string_agg(item_id, '; ' ORDER BY item_id) AS ids FROM {REC} WHERE song_key IS NOT NULL GROUP BY song_key), x AS (SELECT song_key, unnest(string_split(ids, '; ')) AS item_id FROM s)
     SELECT x.song_key, CASE WHEN count(DISTINCT region) = 1 THEN min(region) END AS region FROM x JOIN {REC} r ON r.item_id = x.item_id GROUP BY x.song_key""")
 def reverse_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Ids in a delimited list looked up again; the region where all agree (J-26, F-A01)."""
-    r = recordings(spark, d, "song_key", "region", "geo_level")
-    s = r.where("song_key is not null and geo_level = 'site'").groupBy("song_key").agg(F.array_join(F.sort_array(F.collect_list("item_id")), "; ").alias("ids"))
+    r = recordings(spark, d, "song_key", "region")
+    s = r.where("song_key is not null").groupBy("song_key").agg(F.array_join(F.sort_array(F.collect_list("item_id")), "; ").alias("ids"))
     x = s.select("song_key", F.explode(F.split("ids", "; ")).alias("item_id"))
     g = x.join(r.select("item_id", "region"), "item_id").groupBy("song_key").agg(F.collect_set("region").alias("u"))
     return g.select("song_key", F.when(F.size("u") == 1, F.element_at("u", 1)).alias("region"))

@@ -132,18 +132,18 @@ def knn_vote(spark: SparkSession, d: str) -> DataFrame:
     return b.join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("truth")), "query").select("query", "truth", "guess")
 
 
-@Q("""WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS cls FROM embeddings), p AS (SELECT vec_id, label, cls, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM f WHERE cls < 10), g AS (SELECT cls, avg(ln(p)) AS m FROM p GROUP BY cls)
+@Q("""WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS cls FROM embeddings), p AS (SELECT vec_id, label, cls, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM f), g AS (SELECT cls, avg(ln(p)) AS m FROM p GROUP BY cls)
     SELECT p.vec_id, CAST(p.cls AS INTEGER) AS guess, round(ln(p.p) - g.m, 5) AS logit FROM p JOIN g ON g.cls = p.cls QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY round(ln(p.p) - g.m, 8) DESC, p.cls) = 1""")
 def centred_logits(spark: SparkSession, d: str) -> DataFrame:
     """Log probabilities less their mean by class, then the best class (M-09)."""
-    p = M.softmax_long(table(spark, d, "embeddings"), "vec_id", F.slice("embedding", 1, 10))
+    p = M.softmax_long(table(spark, d, "embeddings"), "vec_id", F.col("embedding"))
     g = p.groupBy("cls").agg(F.avg(F.ln("p")).alias("m"))
     x = p.join(F.broadcast(g), "cls").withColumn("logit", F.ln("p") - F.col("m"))
     b = x.groupBy("vec_id").agg(F.max_by(F.struct("cls", "logit"), F.struct(F.round("logit", 8), -F.col("cls"))).alias("b"))
     return b.select("vec_id", F.col("b.cls").alias("guess"), F.round("b.logit", 5).alias("logit"))
 
 
-_EM = "f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS cls FROM embeddings), p AS (SELECT vec_id, cls, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM f WHERE cls < 10), q0 AS (SELECT cls, 0.1::DOUBLE AS q FROM (SELECT DISTINCT cls FROM p))"
+_EM = "f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS cls FROM embeddings), p AS (SELECT vec_id, cls, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM f), q0 AS (SELECT cls, 1.0::DOUBLE / 64 AS q FROM (SELECT DISTINCT cls FROM p))"
 for _i in range(1, 4):
     _EM += f", r{_i} AS (SELECT vec_id, p.cls, p * q / sum(p * q) OVER (PARTITION BY vec_id) AS r FROM p JOIN q{_i - 1} ON q{_i - 1}.cls = p.cls), q{_i} AS (SELECT cls, avg(r) AS q FROM r{_i} GROUP BY cls)"
 
@@ -151,8 +151,8 @@ for _i in range(1, 4):
 @Q(f"WITH {_EM} SELECT CAST(cls AS INTEGER) AS cls, round(q, 6) AS prior FROM q3")
 def prior_by_em(spark: SparkSession, d: str) -> DataFrame:
     """Class priors of unlabelled data by three rounds of expectation and maximisation (M-09)."""
-    p = M.softmax_long(table(spark, d, "embeddings"), "vec_id", F.slice("embedding", 1, 10))
-    return M.em_priors(p, "vec_id", 10, 3).select("cls", F.round("prior", 6).alias("prior"))
+    p = M.softmax_long(table(spark, d, "embeddings"), "vec_id", F.col("embedding"))
+    return M.em_priors(p, "vec_id", 64, 3).select("cls", F.round("prior", 6).alias("prior"))
 
 
 @Q("""WITH a AS (SELECT vec_id, label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS p1, list_position(embedding[11:20], list_max(embedding[11:20])) - 1 AS p2 FROM embeddings), m AS (SELECT label AS majority FROM embeddings GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)

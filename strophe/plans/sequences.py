@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from strophe.operators import sequences as S
+from strophe.operators.ordered import running_totals
 from strophe.operators.relational import cap_per_group
 from strophe.plans.registry import REC, Registry, recordings, sql_present, table
 
@@ -165,39 +166,25 @@ def rank_of_true(spark: SparkSession, d: str) -> DataFrame:
     return r.where("l_partkey % 10 = 0").groupBy("l_suppkey").agg(F.min("rank").alias("best_rank"))
 
 
-@Q("""WITH n AS (SELECT event_type, value FROM events WHERE user_id % 7 = 0), q AS (SELECT event_id, event_type, value FROM events WHERE user_id % 7 = 1)
-    SELECT event_id, round(100.0 * count(n.value) FILTER (WHERE n.value < q.value) / count(n.value), 4) AS percentile FROM q JOIN n ON n.event_type = q.event_type GROUP BY event_id""")
-def null_percentile(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a null sample strictly below each value (W-21), from one running count over the union instead of pairs."""
-    return _percentiles(_events_by_residue(spark, d).where("m in (0, 1)"))
-
-
 @Q("""WITH n AS (SELECT event_type, value FROM events WHERE user_id % 7 = 0), q AS (SELECT event_id, event_type, value FROM events WHERE user_id % 7 <> 0)
     SELECT event_id, round(100.0 * count(n.value) FILTER (WHERE n.value < q.value) / count(n.value), 4) AS percentile FROM q JOIN n ON n.event_type = q.event_type GROUP BY event_id""")
-def null_percentile_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same for every event outside the null sample (W-21)."""
-    return _percentiles(_events_by_residue(spark, d))
-
-
-def _events_by_residue(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", "event_type", "value", (F.col("user_id") % 7).alias("m"))
-
-
-def _percentiles(e: DataFrame) -> DataFrame:
-    """e: (event_id, event_type, value, m); the rows of m = 0 are the null sample, all others are scored."""
-    null = F.col("m") == 0
-    # rows of equal value are peers of a range frame; the count before them excludes ties
-    below = F.count_if(null).over(Window.partitionBy("event_type").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)) - F.count_if(null).over(Window.partitionBy("event_type", "value"))
-    x = e.withColumns({"below": below, "all": F.count_if(null).over(Window.partitionBy("event_type"))}).where("m <> 0 and all > 0")
-    return x.select("event_id", F.round(100.0 * F.col("below") / F.col("all"), 4).alias("percentile"))
+def null_percentile(spark: SparkSession, d: str) -> DataFrame:
+    """Share of a null sample strictly below each value of the other events (W-21). The sample is counted per value, the counts are summed up in
+    order over range partitions, and every event looks its value up: no pairs, and no task that holds a whole event type."""
+    e = table(spark, d, "events").select("event_id", "event_type", "value", (F.col("user_id") % 7 == 0).alias("sample"))
+    v = e.where("event_type is not null and value is not null").groupBy("event_type", "value").agg(F.count_if("sample").alias("n"))
+    r = running_totals(v, ["event_type", "value"], ["n"]).withColumn("below", F.col("cum_n") - F.col("n"))
+    t = r.groupBy("event_type").agg(F.sum("n").alias("all"), F.min("below").alias("before")).where("all > 0")
+    x = e.where("not sample").join(r, ["event_type", "value"]).join(t, "event_type")
+    return x.select("event_id", F.round(100.0 * (F.col("below") - F.col("before")) / F.col("all"), 4).alias("percentile"))
 
 
 @Q("SELECT vec_id, round((sum(x) OVER w - x) / (count(*) OVER w - 1), 6) AS others FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) WINDOW w AS (PARTITION BY label)")
 def leave_one_out_mean(spark: SparkSession, d: str) -> DataFrame:
-    """The mean of all others of the group (W-22)."""
-    w = Window.partitionBy("label")
+    """The mean of all others of the group (W-22): totals are combined before the shuffle, then joined. A row alone in its group has none."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"))
-    return e.select("vec_id", F.round((F.sum("x").over(w) - F.col("x")) / (F.count("*").over(w) - 1), 6).alias("others"))
+    g = e.groupBy("label").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    return e.join(g, "label").select("vec_id", F.round((F.col("s") - F.col("x")) / (F.nullif(F.col("n") - 1, F.lit(0))), 6).alias("others"))
 
 
 @Q(f"""WITH {NOTES_SQL}, c AS (SELECT item, count(*) AS n FROM n GROUP BY item), s AS (SELECT item, n, unnest(list_distinct(list_append(range(0, greatest(n - 16, 0) + 1, 8), greatest(n - 16, 0)))) AS start FROM c)
@@ -211,10 +198,10 @@ def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     return s.select("item", "start", F.size("w").cast("long").alias("size"), F.round(F.aggregate("w", F.lit(0.0), lambda acc, v: acc + v) / F.size("w"), 6).alias("mean"))
 
 
-@Q(f"""SELECT item_id, region, CAST(turn AS INTEGER) AS turn, round((turn - 1) / n, 9) AS progress FROM (SELECT item_id, region, row_number() OVER (PARTITION BY region ORDER BY item_id) AS turn, count(*) OVER (PARTITION BY region) AS n FROM {REC} WHERE geo_level = 'site')""")
+@Q(f"""SELECT item_id, region, CAST(turn AS INTEGER) AS turn, round((turn - 1) / n, 9) AS progress FROM (SELECT item_id, region, row_number() OVER (PARTITION BY region ORDER BY item_id) AS turn, count(*) OVER (PARTITION BY region) AS n FROM {REC})""")
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
     """Turns of a round-robin over groups, plain and in proportion to their size (W-25, O-02)."""
-    r = recordings(spark, d, "region", "geo_level").where("geo_level = 'site'")
+    r = recordings(spark, d, "region")
     return S.proportional_order(r, "region", [F.col("item_id")]).select("item_id", "region", "turn", F.round("progress", 9).alias("progress"))
 
 

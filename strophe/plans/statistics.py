@@ -147,13 +147,13 @@ def shuffled_first(spark: SparkSession, d: str) -> DataFrame:
     return R.sample_per_group(one, ["region"], 8, "s3", "item_id").select("item_id", "region", "song_key")
 
 
-@Q(f"""WITH q AS (SELECT item_id, song_key, region FROM {REC} WHERE geo_level = 'site' AND song_key IS NOT NULL), pool AS (SELECT item_id, song_key FROM (SELECT item_id, song_key FROM {REC} WHERE song_key IS NOT NULL ORDER BY md5('pool|' || item_id), item_id LIMIT 60))
+@Q(f"""WITH q AS (SELECT item_id, song_key, region FROM {REC} WHERE song_key IS NOT NULL), pool AS (SELECT item_id, song_key FROM (SELECT item_id, song_key FROM {REC} WHERE song_key IS NOT NULL ORDER BY md5('pool|' || item_id), item_id LIMIT 60))
     SELECT q.item_id, p.item_id AS control FROM q JOIN pool p ON p.song_key <> q.song_key QUALIFY row_number() OVER (PARTITION BY q.item_id ORDER BY md5('s4|' || q.item_id || '|' || p.item_id), p.item_id) <= 2""")
 def matched_controls(spark: SparkSession, d: str) -> DataFrame:
     """Two random partners of another song for each item, from a fixed pool of sixty (R-04, R-05): the pool travels with the rows as one list."""
-    r = recordings(spark, d, "song_key", "geo_level").where("song_key is not null")
+    r = recordings(spark, d, "song_key").where("song_key is not null")
     pool = R.sample(r.select("item_id", "song_key"), 60, "pool", "item_id").agg(F.collect_list(F.struct("item_id", "song_key")).alias("pool"))
-    q = r.where("geo_level = 'site'").crossJoin(F.broadcast(pool))
+    q = r.crossJoin(F.broadcast(pool))
     others = F.transform(F.filter("pool", lambda p: p["song_key"] != F.col("song_key")), lambda p: F.struct(F.md5(F.concat_ws("|", F.lit("s4"), F.col("item_id"), p["item_id"])).alias("h"), p["item_id"].alias("control")))
     return q.select("item_id", F.explode(F.slice(F.array_sort(others), 1, 2)).alias("c")).select("item_id", "c.control")
 
@@ -231,15 +231,7 @@ def hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return p0.select("adcode", "path", "depth").unionAll(p1.select("adcode", "path", "depth")).unionAll(p2)
 
 
-@Q("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM u UNION SELECT r.n, u.b FROM r JOIN u ON u.a = r.m)
-    SELECT n AS node, min(m) AS root FROM r GROUP BY n""")
 def connected_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components of a bipartite graph (G-01, D16). The edges are those of one kind of line, as in a real link table."""
-    e = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount = 0.1 and l_tax = 0.08").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
-    return connected(e, "a", "b").select("node", "root")
-
-
-def connected_groups_whole(spark: SparkSession, d: str) -> DataFrame:
     """Connected components over the edges of all lines (G-01, D16). A recursive SQL cannot take them all; compared with union-find in the tests."""
     e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
     return connected(e, "a", "b").select("node", "root")
@@ -296,4 +288,4 @@ def audit_by_region(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES, SQL = Q.queries, Q.sql
-QUERIES |= {"connected_groups_whole": connected_groups_whole, "group_folds": group_folds, "representatives": representatives, "chi_square_p": chi_square_p}
+QUERIES |= {"connected_groups": connected_groups, "group_folds": group_folds, "representatives": representatives, "chi_square_p": chi_square_p}

@@ -46,9 +46,8 @@ def test_components_of_all_lines(spark, tmp_path):
     groups = {}
     for x in list(parent):
         groups.setdefault(find(x), []).append(x)
-    got = {r.node: r.root for r in statistics.connected_groups_whole(spark, str(tmp_path)).collect()}
+    got = {r.node: r.root for r in statistics.connected_groups(spark, str(tmp_path)).collect()}
     assert got == {x: min(g) for g in groups.values() for x in g} and len(groups) > 3
-    assert len(got) > statistics.connected_groups(spark, str(tmp_path)).count()
 
 
 def test_every_event_is_scored(spark, tmp_path):
@@ -56,7 +55,7 @@ def test_every_event_is_scored(spark, tmp_path):
     rows = [(i, rng.randrange(21), rng.choice("ab"), float(rng.randrange(9))) for i in range(300)] + [(300, 1, "c", 1.0)]
     null = {t: [v for _, u, k, v in rows if u % 7 == 0 and k == t] for t in "abc"}
     want = {e: round(100 * sum(x < v for x in null[t]) / len(null[t]), 4) for e, u, t, v in rows if u % 7 and null[t]}
-    got = {r.event_id: r.percentile for r in sequences.null_percentile_whole(spark, write_events(spark, tmp_path, rows)).collect()}
+    got = {r.event_id: r.percentile for r in sequences.null_percentile(spark, write_events(spark, tmp_path, rows)).collect()}
     assert got == want
 
 
@@ -65,7 +64,7 @@ def test_pairs_of_all_folds(spark, tmp_path):
     rows = [(f"i{i:02}", rng.choice(["s", "t", None]), rng.choice("xy"), rng.randrange(5), rng.choice(["site", "county"])) for i in range(40)]
     spark.createDataFrame(rows, "item_id string, song_key string, region string, fold int, geo_level string").write.parquet(f"{tmp_path}/recordings.parquet")
     want = sorted((a[1], a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] and a[1:3] == b[1:3])
-    assert sorted(tuple(r) for r in joins.pairs_in_groups_whole(spark, str(tmp_path)).collect()) == want
+    assert sorted(tuple(r) for r in joins.pairs_in_groups(spark, str(tmp_path)).collect()) == want
 
 
 def greedy(rows, n):
