@@ -261,16 +261,74 @@ def cophenetic(merges: Sequence[tuple[int, int, float]], n: int) -> np.ndarray:
     return out
 
 
+def clades(merges: Sequence[tuple[int, int, float]], n: int) -> list[frozenset[int]]:
+    """The leaves below each merge but the last, which holds all."""
+    below = {i: frozenset([i]) for i in range(n)}
+    for k, (a, b, _) in enumerate(merges):
+        below[n + k] = below[a] | below[b]
+    return [below[n + k] for k in range(len(merges) - 1)]
+
+
+def ward(points: np.ndarray, sizes: Sequence[int]) -> list[tuple[int, int, float]]:
+    """Merges (a, b, height) that each add least to the squared distances within clusters; points have weights. Empty points come last."""
+    live = {i: (np.asarray(p, float), max(s, 1e-9)) for i, (p, s) in enumerate(zip(points, sizes))}
+    out, new = [], len(points)
+    while len(live) > 1:
+        keys = list(live)
+        x, w = np.stack([live[k][0] for k in keys]), np.array([live[k][1] for k in keys])
+        cost = ((x[:, None] - x[None]) ** 2).sum(2) * (w[:, None] * w[None]) / (w[:, None] + w[None])
+        cost[np.tril_indices(len(keys))] = np.inf
+        i, j = divmod(int(np.argmin(cost)), len(keys))
+        (a, wa), (b, wb) = live.pop(keys[i]), live.pop(keys[j])
+        live[new] = ((a * wa + b * wb) / (wa + wb), wa + wb)
+        out.append((keys[i], keys[j], float(np.sqrt(2 * cost[i, j]))))
+        new += 1
+    return out
+
+
+def ranks(x: Sequence[float]) -> np.ndarray:
+    """Ranks from 1; equal values share their mean rank."""
+    _, at, n = np.unique(np.asarray(x, float), return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
+def _permutations(n: int, permutations: int, seed: int) -> tuple[list[np.ndarray], bool]:
+    """All orders where there are no more than asked for, else random ones."""
+    import itertools
+    import math
+
+    if math.factorial(n) <= permutations:
+        return [np.array(p) for p in itertools.permutations(range(n))], True
+    rng = np.random.default_rng(seed)
+    return [rng.permutation(n) for _ in range(permutations)], False
+
+
 def mantel(a: np.ndarray, b: np.ndarray, permutations: int = 999, seed: int = 7) -> tuple[float, float]:
-    """Correlation of two distance matrices, and the share of leaf permutations (and the given order) that reach it."""
-    iu = np.triu_indices(len(a), 1)
-    r = float(np.corrcoef(a[iu], b[iu])[0, 1])
+    """Rank correlation of two distance matrices, and the share of leaf permutations that reach it: of all of them where there are
+    few, else of random ones and the given order."""
+    up = np.triu_indices(len(a), 1)
+    x = ranks(a[up])
+    corr = lambda m: float(np.corrcoef(x, ranks(m[up]))[0, 1])
+    r = corr(b)
+    orders, exact = _permutations(len(a), permutations, seed)
+    hits = sum(corr(b[np.ix_(p, p)]) >= r - 1e-12 for p in orders)
+    return r, hits / len(orders) if exact else (hits + 1) / (len(orders) + 1)
+
+
+def group_contrast(distance: np.ndarray, groups: Sequence[int], permutations: int = 999, seed: int = 7) -> tuple[float, float]:
+    """How much farther apart leaves of different groups are than those of one, as a share of the mean distance, and the share of
+    permuted groups (and the given ones) that reach it."""
+    up, g = np.triu_indices(len(groups), 1), np.asarray(groups)
+    d = distance[up]
+
+    def contrast(x: np.ndarray) -> float:
+        same = (x[:, None] == x[None])[up]
+        return float((d[~same].mean() - d[same].mean()) / d.mean()) if same.any() and not same.all() else float("nan")
+
+    c = contrast(g)
     rng = np.random.default_rng(seed)
-    hits = 0
-    for _ in range(permutations):
-        p = rng.permutation(len(a))
-        hits += float(np.corrcoef(a[iu], b[np.ix_(p, p)][iu])[0, 1]) >= r - 1e-12
-    return r, (hits + 1) / (permutations + 1)
+    hits = sum(contrast(rng.permutation(g)) >= c - 1e-12 for _ in range(permutations))
+    return c, (hits + 1) / (permutations + 1)
 
 
 def climb(start: Sequence[int], score: Callable[[Sequence[int]], float]) -> tuple[list[int], float]:

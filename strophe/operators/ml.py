@@ -32,6 +32,13 @@ def logistic(train: DataFrame, test: DataFrame) -> DataFrame:
     return m.transform(test).select("id", vector_to_array("probability").alias("p"))
 
 
+def weighted_logistic(train: DataFrame, test: DataFrame, mass: str) -> DataFrame:
+    """As ``logistic``, with the rows' own weights times those that balance the classes."""
+    x = balanced_weights(train, "label").withColumn("weight", F.col("weight") * F.col(mass))
+    m = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.01, maxIter=50).fit(x)
+    return m.transform(test).select("id", vector_to_array("probability").alias("p"))
+
+
 def few(df: DataFrame, column: str, most: int = 100) -> list:
     """The values of a column that is to have few; more than ``most`` are an error, never left out."""
     rows = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()

@@ -173,13 +173,17 @@ def _uniform_sql(expr: str) -> str:
 _EDGES = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
 
 
-@Q(f"""WITH l AS (SELECT item_id, CAST(y = p AS INTEGER) AS ok FROM {LABELS_SQL}), b AS (SELECT unnest(range(200)) AS b), u AS (SELECT b, ok, {_uniform_sql("'boot|' || b || '|' || item_id")} AS u FROM l, b), w AS (SELECT b, ok, {' + '.join(f'CAST(u >= {e!r} AS INTEGER)' for e in _EDGES)} AS w FROM u), s AS (SELECT b, sum(w * ok) / sum(w)::DOUBLE AS acc FROM w GROUP BY b)
+@Q(f"""WITH l AS (SELECT item_id, CAST(y = p AS INTEGER) AS ok FROM {LABELS_SQL}), b AS (SELECT unnest(range(200)) AS b), u AS (SELECT b, ok, ('0x' || substr(md5('boot|' || (b // 4) || '|' || item_id), b % 4 * 8 + 1, 8))::BIGINT / 4294967296.0 AS u FROM l, b), w AS (SELECT b, ok, {' + '.join(f'CAST(u >= {e!r} AS INTEGER)' for e in _EDGES)} AS w FROM u), s AS (SELECT b, sum(w * ok) / sum(w)::DOUBLE AS acc FROM w GROUP BY b)
     SELECT count(*) AS replicates, round(quantile_cont(acc, 0.025), 6) AS lo, round(avg(acc), 6) AS mean, round(quantile_cont(acc, 0.975), 6) AS hi FROM s""")
 def bootstrap_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap interval of an accuracy with Poisson weights from hashes (R-10): every row draws its weights where it is, and
     replicates are combined before the shuffle."""
-    x = labelled(spark, d).select("item_id", (F.col("y") == F.col("p")).cast("int").alias("ok"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b"))
-    w = R.poisson_weights(R.hash_uniform("boot", "b", "item_id"))
+    x = labelled(spark, d).select("item_id", (F.col("y") == F.col("p")).cast("int").alias("ok"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("q"))
+    # a digest has bits for four numbers
+    x = x.withColumn("h", F.md5(F.concat_ws("|", F.lit("boot"), F.col("q").cast("string"), "item_id")))
+    parts = F.array(*[F.struct((F.col("q") * 4 + j).alias("b"), (F.conv(F.substring("h", j * 8 + 1, 8), 16, 10).cast("double") / 4294967296.0).alias("u")) for j in range(4)])
+    x = x.select("ok", F.explode(parts).alias("z")).select("ok", "z.b", "z.u")
+    w = R.poisson_weights(F.col("u"))
     s = x.withColumn("w", w).groupBy("b").agg((F.sum(F.col("w") * F.col("ok")) / F.sum("w")).alias("acc"))
     return s.agg(F.count("*").alias("replicates"), F.round(F.percentile("acc", 0.025), 6).alias("lo"), F.round(F.avg("acc"), 6).alias("mean"), F.round(F.percentile("acc", 0.975), 6).alias("hi"))
 
