@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strophe.plans.registry import Registry, table
+from strophe.session import scratch
 from strophe.streaming import windows as S
 
 Q = Registry()
@@ -25,6 +26,12 @@ SESSIONS = """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OV
 LATEST = "SELECT item_id, available, status FROM (SELECT DISTINCT * FROM link_status) WHERE item_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY loaded_at DESC, checked_on DESC, coalesce(status, '') DESC, coalesce(available, false) DESC) = 1"
 
 
+def _closed_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream that ends, a day of lateness allowed."""
+    path = S.closed(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value"), "ts", scratch(spark, "events"))
+    return S.with_event_time(S.event_stream(spark, path), "ts", "1 day")
+
+
 @Q(TUMBLING)
 def batch_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Six-hour windows (T-07)."""
@@ -46,23 +53,23 @@ def batch_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @Q(TUMBLING)
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """The same windows from a stream with a watermark, complete once all data has arrived (T-02, T-07)."""
-    e = S.with_event_time(S.event_stream(spark, f"{d}/events.parquet"), "ts", "1 day")
-    return _text(S.run_to_end(S.tumbling(e, "ts", "6 hours", ["event_type"], _aggs()), "complete"), "start").drop("batch")
+    """The same windows from a stream, each written once, when the watermark has passed it (T-02, T-07)."""
+    e = _closed_events(spark, d)
+    return _text(S.run_to_end(S.tumbling(e, "ts", "6 hours", ["event_type"], _aggs())), "start")
 
 
 @Q(SLIDING)
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     """Half-overlapping windows of a stream (T-08)."""
-    e = S.with_event_time(S.event_stream(spark, f"{d}/events.parquet"), "ts", "1 day")
-    return _text(S.run_to_end(S.sliding(e, "ts", "12 hours", "6 hours", [], _aggs()), "complete"), "start").drop("batch")
+    e = _closed_events(spark, d)
+    return _text(S.run_to_end(S.sliding(e, "ts", "12 hours", "6 hours", [], _aggs())), "start")
 
 
 @Q(SESSIONS)
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Session windows of a stream (T-09)."""
-    e = S.with_event_time(S.event_stream(spark, f"{d}/events.parquet"), "ts", "1 day")
-    s = S.run_to_end(S.sessions(e, "ts", "4 hours", ["user_id"], _aggs()), "complete")
+    e = _closed_events(spark, d)
+    s = S.run_to_end(S.sessions(e, "ts", "4 hours", ["user_id"], _aggs()))
     return _text(s.select("user_id", "start", "n", "total"), "start")
 
 
@@ -71,7 +78,9 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     """The last state of every item from a late and repetitive log (T-04, T-06)."""
     ls = S.event_stream(spark, f"{d}/link_status.parquet").where("item_id is not null")
     ls = ls.select("*", F.coalesce("status", F.lit("")).alias("s0"), F.coalesce("available", F.lit(False)).alias("a0"))
-    return S.run_to_end(S.latest(ls, "item_id", ["loaded_at", "checked_on", "s0", "a0"], ["available", "status"]), "complete").select("item_id", "available", "status")
+    u = S.run_to_end(S.latest(ls, "item_id", ["loaded_at", "checked_on", "s0", "a0"], ["available", "status"]), "update")
+    # of a key that changed in several batches the last one holds
+    return u.groupBy("item_id").agg(F.max_by(F.struct("available", "status"), "batch").alias("s")).select("item_id", "s.*")
 
 
 @Q("SELECT search_id, region, query, CAST(coalesce(len(hits), 0) AS INTEGER) AS hits FROM search_log")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from strophe.session import checkpoint_dir
 
@@ -62,16 +61,24 @@ def run_to_end(stream: DataFrame, mode: str = "append", each: Callable[[DataFram
     def write(df: DataFrame, n: int) -> None:
         if each:
             each(df, n)
-        df.write.mode("overwrite").parquet(f"{out}/b{n}")
+        df.write.mode("overwrite").parquet(f"{out}/batch={n}")
         batches.append(n)
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/ckpt").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     if not batches:
         return spark.createDataFrame([], stream.schema)
-    kept = batches[-1:] if mode == "complete" else batches
-    frames = [spark.read.schema(stream.schema).parquet(f"{out}/b{n}").withColumn("batch", F.lit(n)) for n in kept]
-    return reduce(DataFrame.unionAll, frames)
+    all_ = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", out)
+    return all_.parquet(f"{out}/batch={batches[-1]}" if mode == "complete" else out)
+
+
+def closed(df: DataFrame, ts: str, path: str, after: str = "30 days") -> str:
+    """Writes a table as the files of a stream that has come to its end: last comes a mark so much later than all rows, which moves the
+    watermark past every window of theirs. The mark's own window is never complete, so it is in no result."""
+    df.write.parquet(path)
+    end = df.agg((F.max(ts).cast("timestamp") + F.expr(f"interval {after}")).alias("t"))
+    end.select(*[F.col("t").cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode("append").parquet(path)
+    return path
 
 
 def not_done(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
