@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Sequence
 from statistics import median
@@ -385,16 +386,31 @@ def augment(notes: Sequence[tuple[float, float, int]], key: str, share: float =
     return out
 
 
-def variant_keys(title: str, places: Sequence[str] = (), endings: Sequence[str] = ("民歌", "山歌", "小调", "号子", "调", "曲", "谣")) -> list[str]:
-    """Every form of a title that dropping numbering, brackets, a place before or an ending after can lead to, in any order; sorted."""
-    seen, work = set(), [title.strip()]
+# Kinds of song that may end a title and be left out of a key.
+TITLE_ENDINGS = ("民歌", "山歌", "小调", "号子", "调", "曲", "谣")
+
+
+def plain_title(text: str) -> str:
+    """A title without leading number, brackets and what stands in them, marks and spaces; full-width forms folded, lower case."""
+    t = unicodedata.normalize("NFKC", text).lower()
+    t = re.sub(r"^\s*\d+[._\-\s]*", "", t)
+    t = re.sub(r"[(\[【《][^()\[\]【】《》]*[)\]】》]", "", t) or t
+    return re.sub(r"[\W_]+", "", t)
+
+
+def variant_keys(title: str, places: Sequence[str] = (), endings: Sequence[str] = TITLE_ENDINGS) -> list[str]:
+    """Every key of at least two characters that a title may be looked up by, sorted: the whole title and its parts between inner marks (of
+    three characters or more), each without a place before it and without an ending, again and again."""
+    bare = re.sub(r"^\s*\d+[._\-\s]*", "", unicodedata.normalize("NFKC", title))
+    bare = re.sub(r"[(\[【][^()\[\]【】]*[)\]】]", "", bare)
+    work = [plain_title(bare), *(k for p in re.split(r"[·・、/,]", bare) if len(k := plain_title(p)) >= 3)]
+    seen: set[str] = set()
     while work:
         t = work.pop()
-        if not t or t in seen:
+        if len(t) < 2 or t in seen:
             continue
         seen.add(t)
-        steps = [re.sub(r"^\d+[._\-\s]*", "", t), re.sub(r"[（(\[][^）)\]]*[）)\]]", "", t).strip(), re.sub(r"[其之][一二三四五六七八九十]$", "", t)]
-        steps += [t[len(p) :] for p in places if t.startswith(p) and len(t) > len(p) + 1]
-        steps += [t[: -len(e)] for e in endings if t.endswith(e) and len(t) > len(e) + 1]
-        work += steps
+        place = next((p for p in places if t.startswith(p) and len(t) - len(p) >= 2), None)
+        work += [t[len(place) :]] if place else []
+        work += [t[: -len(e)] for e in endings if t.endswith(e) and len(t) - len(e) >= 2]
     return sorted(seen)

@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from strophe.functions.text import present
 from strophe.operators import kernels as K, ml as M, sequences as S, stats as X
-from strophe.plans.registry import Registry, recordings, table
+from strophe.plans.registry import Registry, table
 from strophe.plans.sequences import NOTES_SQL, W, notes
 
 Q = Registry()
@@ -75,18 +74,6 @@ def degree_text(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("a")).select("item", F.array_join(F.transform("a", lambda e: e["s"]), " ").alias("degrees"))
 
 
-def title_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Every key that a title may be looked up by (F-S18, U-05); tested against the function itself."""
-    t = recordings(spark, d, "title").where(present("title").isNotNull()).select("title").distinct()
-
-    def keys(batches):
-        for b in batches:
-            rows = [(x, k) for x in b["title"] for k in K.variant_keys(x)]
-            yield pd.DataFrame(rows, columns=["title", "key"])
-
-    return t.mapInPandas(keys, "title string, key string")
-
-
 @Q("""WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings), k AS (SELECT vec_id, i, CASE WHEN (vec_id + i) % 3 <> 0 THEN v END AS v FROM s)
     SELECT vec_id, CAST(arg_max(i, v) AS INTEGER) AS best, round(max(v), 6) AS score, count(v) AS known FROM k GROUP BY vec_id""")
 def best_of_known(spark: SparkSession, d: str) -> DataFrame:
@@ -161,4 +148,4 @@ def random_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES, SQL = Q.queries, Q.sql
-QUERIES |= {f.__name__: f for f in (missed_segments, title_variants, profile_tree, matched_classes, top_coefficients, stacked, nested_selection, two_stage, random_features)}
+QUERIES |= {f.__name__: f for f in (missed_segments, profile_tree, matched_classes, top_coefficients, stacked, nested_selection, two_stage, random_features)}
