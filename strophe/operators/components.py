@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strophe.session import cut
+from strophe.session import cut, release
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     e = cut(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seen = None
     for _ in range(rounds):
-        e = cut(_small_star(_large_star(e)))
+        last, e = e, cut(_small_star(_large_star(e)))
+        release(last)
         mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

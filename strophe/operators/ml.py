@@ -23,7 +23,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Adds ``weight``: every class has the same total."""
     c = df.groupBy(label).agg(F.count("*").alias("__c"))
     t = c.agg(F.sum("__c").alias("__t"), F.count("*").alias("__k"))
-    return df.join(F.broadcast(c.crossJoin(F.broadcast(t)).select(label, (F.col("__t") / (F.col("__k") * F.col("__c"))).alias("weight"))), label)
+    return df.join(c.crossJoin(F.broadcast(t)).select(label, (F.col("__t") / (F.col("__k") * F.col("__c"))).alias("weight")), label)
 
 
 def logistic(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -89,8 +89,9 @@ def back_off_scores(train: DataFrame, test: DataFrame, item: str, cls: str, toke
     total / (total + k types). Counts are aggregated; scoring joins each order once.
     """
     v = train.agg((1.0 / (F.count_distinct(tokens[0]) + 1)).alias("p"))
-    classes = train.select(F.col(cls).alias("__c")).distinct()
-    s = test.select(item, *tokens).crossJoin(F.broadcast(classes)).crossJoin(F.broadcast(v))
+    # few classes: every test token is scored under each
+    classes = F.array(*[F.lit(c).cast(train.schema[cls].dataType) for c in few(train, cls)])
+    s = test.select(item, *tokens, F.explode(classes).alias("__c")).crossJoin(F.broadcast(v))
     for n in range(len(tokens)):
         context = list(tokens[1 : n + 1])
         known = train.where(F.col(tokens[n]).isNotNull())

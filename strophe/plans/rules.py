@@ -35,8 +35,54 @@ def load_documents(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.concat_ws("__", F.lit("documents"), F.col("doc_id").cast("string")).alias("unified_id"), F.lit("documents").alias("dataset"), F.col("doc_id").cast("string").alias("original_id"), F.lit("segment").alias("granularity"), present("region").alias("region"), F.year("written_at").alias("year"), present("lang").alias("language"))
 
 
+def _items(df: DataFrame, dataset: str, ident: str, granularity: str, **columns) -> DataFrame:
+    """Rows of one source in the schema of items: its id, its constants, and what it has of the other columns."""
+    ident_ = F.col(ident).cast("string")
+    return df.select(F.concat_ws("__", F.lit(dataset), ident_).alias("unified_id"), F.lit(dataset).alias("dataset"), ident_.alias("original_id"), F.lit(granularity).alias("granularity"), *[c.alias(n) for n, c in columns.items()])
+
+
+def load_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Loader: what searches found, each hit once, out of nested rows."""
+    h = table(spark, d, "search_log").select(F.explode("hits").alias("h")).where("h.id is not null")
+    g = h.groupBy(F.col("h.id").alias("id")).agg(F.min("h.title").alias("t"), F.max(number_present("h.duration_s")).alias("s"))
+    return _items(g, "hits", "id", "song", title=present("t"), duration_seconds=F.col("s"))
+
+
+def load_links(spark: SparkSession, d: str) -> DataFrame:
+    """Loader: checked links, with whether any check found them."""
+    g = table(spark, d, "link_status").where("item_id is not null").groupBy("item_id").agg(F.max("available").alias("a"), F.min(F.year("checked_on")).alias("y"))
+    return _items(g, "links", "item_id", "song", year=F.col("y"), has_audio=F.col("a"))
+
+
+def load_places(spark: SparkSession, d: str) -> DataFrame:
+    """Loader: places of the gazetteer."""
+    return _items(table(spark, d, "gazetteer"), "places", "adcode", "place", title=F.col("name"), province=F.col("province"))
+
+
+def load_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """Loader: volumes of printed scores as collections."""
+    g = table(spark, d, "scores").distinct().where(present("volume").isNotNull()).groupBy("volume").agg(F.sum("n_notes").cast("int").alias("n"))
+    return _items(g, "volumes", "volume", "collection", n_notes=F.col("n"), has_score=F.lit(True))
+
+
+def load_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Loader: uploading bodies as collections of what they put up."""
+    r = recordings(spark, d, "channel_key", "duration_s").where(present("channel_key").isNotNull())
+    g = r.groupBy("channel_key").agg(F.round(F.sum(number_present("duration_s")), 3).alias("s"))
+    return _items(g, "channels", "channel_key", "collection", duration_seconds=F.col("s"), has_audio=F.lit(True))
+
+
+def load_performances(spark: SparkSession, d: str) -> DataFrame:
+    """Loader: sequences of events as performances."""
+    g = table(spark, d, "events").groupBy("user_id").agg(F.count("*").cast("int").alias("n"), F.min(F.year("ts")).alias("y"))
+    return _items(g, "performances", "user_id", "song", n_notes=F.col("n"), year=F.col("y"))
+
+
 #: The registry of loaders: name to a function that gives conforming rows (U-01).
-LOADERS = {"recordings": load_recordings, "scores": load_scores, "documents": load_documents}
+LOADERS = {
+    "recordings": load_recordings, "scores": load_scores, "documents": load_documents, "hits": load_hits, "links": load_links, "places": load_places, "volumes": load_volumes,
+    "channels": load_channels, "performances": load_performances,
+}
 
 
 def master(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +93,13 @@ def master(spark: SparkSession, d: str) -> DataFrame:
 _MASTER_SQL = f"""(SELECT 'recordings__' || item_id AS unified_id, 'recordings' AS dataset, item_id AS original_id, 'song' AS granularity, {sql_present("title")} AS title, {sql_present("province")} AS province, region,
     CAST(floor(CASE WHEN NOT isnan(upload_date) THEN upload_date END / 10000) AS INTEGER) AS year, CASE WHEN NOT isnan(duration_s) THEN duration_s END AS duration_seconds, CAST(NULL AS INTEGER) AS n_notes, CAST(NULL AS VARCHAR) AS language, true AS has_audio, CAST(NULL AS BOOLEAN) AS has_score FROM {REC}
     UNION ALL SELECT 'scores__' || item_id, 'scores', item_id, 'song', {sql_present("title")}, {sql_present("province")}, region, NULL, NULL, n_notes, NULL, NULL, true FROM (SELECT DISTINCT * FROM scores)
-    UNION ALL SELECT 'documents__' || doc_id, 'documents', CAST(doc_id AS VARCHAR), 'segment', NULL, NULL, {sql_present("region")}, CAST(year(written_at) AS INTEGER), NULL, NULL, {sql_present("lang")}, NULL, NULL FROM documents)"""
+    UNION ALL SELECT 'documents__' || doc_id, 'documents', CAST(doc_id AS VARCHAR), 'segment', NULL, NULL, {sql_present("region")}, CAST(year(written_at) AS INTEGER), NULL, NULL, {sql_present("lang")}, NULL, NULL FROM documents
+    UNION ALL SELECT 'hits__' || id, 'hits', id, 'song', {sql_present("t")}, NULL, NULL, NULL, s, NULL, NULL, NULL, NULL FROM (SELECT h.id AS id, min(h.title) AS t, max(CASE WHEN NOT isnan(h.duration_s) THEN h.duration_s END) AS s FROM (SELECT unnest(hits) AS h FROM search_log) WHERE h.id IS NOT NULL GROUP BY h.id)
+    UNION ALL SELECT 'links__' || item_id, 'links', item_id, 'song', NULL, NULL, NULL, CAST(min(year(checked_on)) AS INTEGER), NULL, NULL, NULL, bool_or(available), NULL FROM link_status WHERE item_id IS NOT NULL GROUP BY item_id
+    UNION ALL SELECT 'places__' || adcode, 'places', adcode, 'place', name, province, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM gazetteer
+    UNION ALL SELECT 'volumes__' || volume, 'volumes', volume, 'collection', NULL, NULL, NULL, NULL, NULL, CAST(sum(n_notes) AS INTEGER), NULL, NULL, true FROM (SELECT DISTINCT * FROM scores) WHERE {sql_present("volume")} IS NOT NULL GROUP BY volume
+    UNION ALL SELECT 'channels__' || channel_key, 'channels', channel_key, 'collection', NULL, NULL, NULL, NULL, round(sum(CASE WHEN NOT isnan(duration_s) THEN duration_s END), 3), NULL, NULL, true, NULL FROM (SELECT DISTINCT item_id, channel_key, duration_s FROM recordings) WHERE {sql_present("channel_key")} IS NOT NULL GROUP BY channel_key
+    UNION ALL SELECT 'performances__' || user_id, 'performances', CAST(user_id AS VARCHAR), 'song', NULL, NULL, NULL, CAST(min(year(ts)) AS INTEGER), NULL, CAST(count(*) AS INTEGER), NULL, NULL, NULL FROM events GROUP BY user_id)"""
 
 
 @Q("SELECT * FROM " + _MASTER_SQL)

@@ -39,6 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Removes what ``cut`` wrote of a table that nothing needs any more, so that rounds do not fill the shared folder. Only for tables
+    that never left the function that cut them. A table that was not cut, and a folder that cannot be removed, are left as they are."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    at = plan.rdd().getCheckpointFile()
+    if at.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit in which operators size their own splits."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

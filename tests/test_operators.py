@@ -239,3 +239,52 @@ def test_folds_and_samples(spark):
     for c in ("song", "ch"):
         v = [songs[r["id"]][c] for r in got if songs[r["id"]][c] is not None]
         assert len(v) == len(set(v))
+
+
+def test_release_and_folder(spark, monkeypatch):
+    """Rounds leave nothing behind, and a cluster without a shared folder is refused."""
+    import os
+
+    import pytest
+
+    from strophe import session
+
+    a = session.cut(spark.range(10))
+    at = a._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(at) and a.count() == 10
+    session.release(a)
+    session.release(spark.range(3))
+    assert not os.path.isdir(at)
+    folder = session.checkpoint_dir(spark).removeprefix("file:")
+    before = len(os.listdir(folder))
+    assert connected(spark.range(50).selectExpr("concat('n', id) as a", "concat('n', id + 1) as b"), "a", "b").count() == 51
+    assert len([x for x in os.listdir(folder) if x.startswith("rdd")]) <= before + 1
+
+    class Unset:
+        master = "spark://host:7077"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                class Sc:
+                    @staticmethod
+                    def getCheckpointDir():  # noqa: N802
+                        class No:
+                            @staticmethod
+                            def isDefined():  # noqa: N802
+                                return False
+
+                        return No
+
+                return Sc
+
+    class Session:
+        sparkContext = Unset
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return None
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.checkpoint_dir(Session)
