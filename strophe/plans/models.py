@@ -99,16 +99,16 @@ def _sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def melodic_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Local alignment over transpositions, and agreement after global alignment, of neighbouring items (N-09, N-10, N-11), over
-    whole sequences; only the agreement has a limit, of 400 notes."""
+    """Local alignment over transpositions, and agreement after global alignment and after one in which the second lies inside
+    the first, of neighbouring items (N-09, N-10, N-11), over whole sequences; only the agreements have a limit, of 400 notes."""
     s = _sequences(spark, d)
     pair = s.join(s.select((F.col("item") - 1).alias("item"), F.col("item").alias("other"), F.col("p").alias("q")), "item")
 
     def align(batches):
         for b in batches:
-            yield pd.DataFrame({"item": b["item"], "other": b["other"], "local": [K.align_local(x, y) for x, y in zip(b["p"], b["q"])], "agreement": [K.agreement(list(x), list(y)) for x, y in zip(b["p"], b["q"])]}).astype({"local": float, "agreement": float})
+            yield pd.DataFrame({"item": b["item"], "other": b["other"], "local": [K.align_local(x, y) for x, y in zip(b["p"], b["q"])], "agreement": [K.agreement(x, y) for x, y in zip(b["p"], b["q"])], "inside": [K.agreement(x, y, inside=True) for x, y in zip(b["p"], b["q"])]}).astype({"local": float, "agreement": float, "inside": float})
 
-    return pair.mapInPandas(align, "item long, other long, local double, agreement double")
+    return pair.mapInPandas(align, "item long, other long, local double, agreement double, inside double")
 
 
 def voted_notes(spark: SparkSession, d: str) -> DataFrame:

@@ -230,6 +230,31 @@ def song_features(spark: SparkSession, d: str) -> DataFrame:
     return x.select(*cols, F.round(F.col("mean") - F.col("final"), 6).alias("final_below_mean"), mode.alias("mode"), F.round(1 - F.col("inside"), 6).alias("outside"), F.round(F.col("notes") / F.col("phrases"), 6).alias("notes_per_phrase"))
 
 
+_SCHEMES = {
+    "bars": "CASE WHEN bar > before THEN repeat('Bar ', CAST(bar - before AS INTEGER)) ELSE '' END || 'Position_' || CAST(tick % 16 AS INTEGER) || ' Pitch_' || pitch || ' Duration_' || len",
+    "shifts": "CASE WHEN pos > 1 THEN 'TimeShift_' || gap || ' ' ELSE '' END || 'Pitch_' || pitch || ' Duration_' || len",
+    "fixed": "'Pitch_' || pitch || ' Duration_' || len || ' TimeShift_' || gap",
+}
+
+
+@Q(f"""WITH {SONG_SQL}, o AS (SELECT item, pos, pitch, CAST(d * 4 AS INTEGER) AS len, CAST(coalesce(sum(d * 4) OVER (PARTITION BY item ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS tick FROM s),
+    y AS (SELECT *, tick // 16 AS bar, coalesce((lag(tick) OVER w) // 16, -1) AS before, tick - coalesce(lag(tick) OVER w, 0) AS gap FROM o WINDOW w AS (PARTITION BY item ORDER BY pos))
+    {_joined_sql(_SCHEMES, 'scheme', 'tokens')}""")
+def symbolic_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Items in three generic token schemes (M-17, without trained merges): bars and positions, shifts in time, and a fixed number of tokens a note.
+    A sixteenth is the unit, sixteen are a bar."""
+    before = F.sum(F.col("d") * 4).over(W().rowsBetween(Window.unboundedPreceding, -1))
+    o = song(spark, d).select("item", "pos", "pitch", (F.col("d") * 4).cast("int").alias("len"), F.coalesce(before, F.lit(0)).cast("int").alias("at"))
+    last = F.lag("at").over(W())
+    o = o.withColumns({"bar": F.floor(F.col("at") / 16).cast("int"), "before": F.coalesce(F.floor(last / 16), F.lit(-1)).cast("int"), "gap": F.col("at") - F.coalesce(last, F.lit(0))})
+    text = lambda name, c: F.concat(F.lit(name + "_"), c.cast("string"))
+    note = F.concat_ws(" ", text("Pitch", F.col("pitch")), text("Duration", F.col("len")))
+    shift = text("TimeShift", F.col("gap"))
+    bars = F.concat(F.expr("repeat('Bar ', bar - before)"), text("Position", F.col("at") % 16), F.lit(" "), note)
+    kinds = {"bars": bars, "shifts": F.when(F.col("pos") > 1, F.concat_ws(" ", shift, note)).otherwise(note), "fixed": F.concat_ws(" ", note, shift)}
+    return _joined(o, kinds, "scheme", "tokens")
+
+
 # Two trackers and a level for every event: the second strays by up to a semitone, each misses some frames.
 FRAMES_SQL = f"""{NOTES_SQL},
     f AS (SELECT item, onset AS t, CASE WHEN event_id % 7 <> 0 THEN 36 + value - 48 * floor(value / 48) END AS a,

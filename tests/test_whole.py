@@ -25,7 +25,7 @@ def test_alignment_takes_whole_sequences(spark, tmp_path):
     rows = [(i, u, "click", float(v)) for i, (u, v) in enumerate([(1, v) for v in a] + [(2, v) for v in b])]
     got = models.melodic_alignment(spark, write_events(spark, tmp_path, rows)).collect()
     p, q = [36 + v for v in a], [36 + v for v in b]
-    assert [(r.item, r.other, r.local, r.agreement) for r in got] == [(1, 2, K.align_local(p, q), K.agreement(p, q))]
+    assert [tuple(r) for r in got] == [(1, 2, K.align_local(p, q), K.agreement(p, q), K.agreement(p, q, inside=True))]
     assert got[0].local != K.align_local(p[:60], q[:60])
 
 
