@@ -29,9 +29,12 @@ LOOKALIKES = {
     "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "х",
     "y": "уγү", "z": "ᴢ",
     "-": "‐‑‒–−˗⁃", "·": "•‧∙⋅・･᛫·", "'": "‘’‛ʹʼ′´`", '"': "“”‟″",
-    "(": "❨❲〔", ")": "❩❳〕", ":": "։׃∶ː", "|": "ǀ∣", "/": "⁄∕", "~": "∼˜", "!": "ǃ", "*": "∗⁎",
+    "(": "❨", ")": "❩", ":": "։׃∶ː", "|": "ǀ∣", "/": "⁄∕", "~": "∼˜", "!": "ǃ", "*": "∗⁎",
 }
 
+# Brackets of another shape. They do not read as round ones, but mean the same to a parser of names.
+BRACKETS_ALIKE = {"〔": "(", "〕": ")", "❲": "(", "❳": ")"}
+
 
 def is_missing(c: Column | str) -> Column:
     """True for null and for every spelling of missing text."""
@@ -92,7 +95,7 @@ _MADE: dict[str, dict] = {}
 
 def _lookalike_map() -> dict[int, str]:
     if "map" not in _MADE:
-        _MADE["map"] = str.maketrans(lookalike_table())
+        _MADE["map"] = str.maketrans(lookalike_table() | BRACKETS_ALIKE)
     return _MADE["map"]
 
 
