@@ -73,22 +73,24 @@ def candidate_pairs(vectors: DataFrame, hot: int = 20_000) -> DataFrame:
     """Distinct ``(h_a, h_b)`` that may reach their threshold: equal field and label, and enough in common in their prefixes.
 
     h is a hash of the id; forms of equal hash are both looked up later. N-grams have one order (df, gram). What a pair shares outside
-    both prefixes lies in the rest of the vector whose prefix ends first, so it adds at most the norm of that rest.
+    both prefixes lies in the rest of the vector whose prefix ends first, so it adds at most the norm of that rest (of both, where the
+    two end at n-grams of one frequency).
     """
     # state: (mass of squares so far, kept entries); an entry is kept while the mass before it leaves t^2 or more
     kept = F.expr(
-        "aggregate(vec, named_struct('m', cast(0.0 as double), 'k', cast(0.0 as double), 'g', cast(array() as array<struct<df:bigint,gram:string,w:double>>)), "
-        "(acc, x) -> named_struct('m', acc.m + x.w * x.w, 'k', if(1 - acc.m >= t * t - 1e-9, acc.m + x.w * x.w, acc.k), "
+        "aggregate(vec, named_struct('m', cast(0.0 as double), 'k', cast(0.0 as double), 'e', 0L, 'g', cast(array() as array<struct<df:bigint,gram:string,w:double>>)), "
+        "(acc, x) -> named_struct('m', acc.m + x.w * x.w, 'k', if(1 - acc.m >= t * t - 1e-9, acc.m + x.w * x.w, acc.k), 'e', if(1 - acc.m >= t * t - 1e-9, x.df, acc.e), "
         "'g', if(1 - acc.m >= t * t - 1e-9, array_append(acc.g, struct(x.df as df, x.gram as gram, x.w as w)), acc.g)))"
     )
     p = vectors.select(F.xxhash64("id").alias("h"), "field", "label", "t", kept.alias("p"))
-    p = p.select("h", "field", "label", "t", F.sqrt(F.greatest(1 - F.col("p.k"), F.lit(0.0))).alias("rest"), F.explode("p.g").alias("g"))
+    p = p.select("h", "field", "label", "t", F.sqrt(F.greatest(1 - F.col("p.k"), F.lit(0.0))).alias("rest"), F.col("p.e").alias("end"), F.explode("p.g").alias("g"))
     # an n-gram of many forms is dealt over several tasks; how many it has is known
-    p = p.select("h", F.xxhash64("field", "label", "g.gram").alias("gram"), "t", "rest", "g.w", F.ceil(F.col("g.df") / hot).cast("int").alias("parts"))
-    a = p.select(F.col("h").alias("h_a"), "gram", "t", F.col("rest").alias("rest_a"), F.col("w").alias("w_a"), F.pmod("h", "parts").cast("int").alias("part"))
-    b = p.select(F.col("h").alias("h_b"), "gram", F.col("rest").alias("rest_b"), F.col("w").alias("w_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    p = p.select("h", F.xxhash64("field", "label", "g.gram").alias("gram"), "t", "rest", "end", "g.w", F.ceil(F.col("g.df") / hot).cast("int").alias("parts"))
+    a = p.select(F.col("h").alias("h_a"), "gram", "t", F.col("rest").alias("rest_a"), F.col("end").alias("end_a"), F.col("w").alias("w_a"), F.pmod("h", "parts").cast("int").alias("part"))
+    b = p.select(F.col("h").alias("h_b"), "gram", F.col("rest").alias("rest_b"), F.col("end").alias("end_b"), F.col("w").alias("w_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     met = a.join(b, ["gram", "part"]).where("h_a < h_b")
-    met = met.groupBy("h_a", "h_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("shared"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"), F.max("t").alias("t"))
+    rest = F.when(F.col("end_a") < F.col("end_b"), F.col("rest_a")).when(F.col("end_b") < F.col("end_a"), F.col("rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
+    met = met.groupBy("h_a", "h_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("shared"), F.max(rest).alias("rest"), F.max("t").alias("t"))
     return met.where("shared + rest >= t - 1e-9").select("h_a", "h_b")
 
 
