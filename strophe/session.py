@@ -80,7 +80,7 @@ def once(key: Hashable, make: Callable):
     results are held by a module of their own; the last few keys are kept."""
     held = sys.modules.setdefault("_strophe_held", types.ModuleType("_strophe_held")).__dict__.setdefault("made", {})
     if key not in held:
-        while len(held) > 3:
+        while len(held) > 8:
             held.pop(next(iter(held)))
         held[key] = make()
     return held[key]
