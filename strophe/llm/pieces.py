@@ -14,21 +14,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strophe.llm.tokens import Encoder, encoder, vocabulary
-from strophe.session import even
+from strophe.llm.tokens import Encoder, encoder, kinds_of, vocabulary
+from strophe.session import even, once
 
 _CLOSE = "[\"'”’」』）)\\]】》]*"
 #: Boundaries, strongest first: a piece may end where the match ends.
-LEVELS: tuple[tuple[str, re.Pattern[str]], ...] = (
+LEVELS: tuple[tuple[str, re.Pattern[str] | None], ...] = (
     ("section", re.compile(r"(?:\r?\n[ \t　]*){3,}|\r?\n(?=\s*(?:#{1,6} |第[一二三四五六七八九十百]+[章节篇]))")),
     ("paragraph", re.compile(r"\r?\n[ \t　]*\r?\n\s*")),
     ("line", re.compile(r"\r\n|\n|\r| | ")),
     ("sentence", re.compile(rf"[。！？!?…]+{_CLOSE}|\.{_CLOSE}(?=\s)")),
     ("clause", re.compile(rf"[；;：:，,、]{_CLOSE}|[—–]+")),
-    ("word", re.compile(r"(?<=[^\s])(?=\s)|\s+|(?<=[A-Za-z0-9])(?=[㐀-鿿])|(?<=[㐀-鿿])(?=[A-Za-z0-9])")),
+    ("word", None),  # see word_ends
 )
 
 
+def word_ends(points: np.ndarray) -> np.ndarray:
+    """Where white space begins or ends, and where Latin letters or digits and ideographs meet."""
+    space = once(("spaces",), lambda: np.fromiter((chr(c).isspace() for c in range(0x3001)), dtype=bool, count=0x3001))[np.minimum(points, 0x3000)] & (points <= 0x3000)
+    latin = (points >= 48) & (points <= 57) | (points >= 65) & (points <= 90) | (points >= 97) & (points <= 122)
+    han = (points >= 0x3400) & (points <= 0x9FFF)
+    turn = (space[:-1] != space[1:]) | latin[:-1] & han[1:] | han[:-1] & latin[1:]
+    return np.append(np.flatnonzero(turn) + 1, [len(points)] if len(points) and space[-1] else []).astype(np.int64)
+
+
 def split_text(text: str, limit: int, overlap: int, enc: Encoder, least: float = 0.5) -> list[tuple[int, int, int, str]]:
     """``(start, end, tokens, level)`` of ordered pieces that cover the text; [] where it is not above the limit.
 
@@ -45,8 +54,10 @@ def split_text(text: str, limit: int, overlap: int, enc: Encoder, least: float =
     usable = np.flatnonzero(whole)
     at_char = chars[usable]
     cuts: list[np.ndarray] = []
+    points, kinds = kinds_of(text)
+    count = enc.counter(text, at_char, usable, kinds, points)
     for _, pattern in LEVELS:
-        ends = np.fromiter((m.end() for m in pattern.finditer(text)), dtype=np.int64)
+        ends = np.fromiter((m.end() for m in pattern.finditer(text)), dtype=np.int64) if pattern else word_ends(points)
         pos = np.searchsorted(at_char, ends)
         ok = pos < len(at_char)
         ok[ok] = at_char[pos[ok]] == ends[ok]
@@ -61,7 +72,7 @@ def split_text(text: str, limit: int, overlap: int, enc: Encoder, least: float =
                 b, level = last, "end"
             else:
                 b, level = _pack(cuts, usable, 0, a, last, top, a + max(overlap + 1, int(room * least)))
-            n = enc.count(text[chars[a] : chars[b]])
+            n = count(int(chars[a]), int(chars[b]))
             if n <= limit or room <= overlap + 8:
                 break
             room -= max(1, n - limit)

@@ -1,14 +1,16 @@
 import random
+import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strophe.llm.documents_queries import QUERIES, VOCABULARY
 from strophe.llm.leakage import Index, Stretch, find_leaks, fold_table, stream, stream_offsets
 from strophe.llm.packing import cut_oversized, difference, pack, pack_documents
-from strophe.llm.pieces import split_documents, split_text
-from strophe.llm.tokens import VOCABULARIES, Encoder
+from strophe.llm.pieces import split_documents, split_text, word_ends
+from strophe.llm.tokens import VOCABULARIES, Encoder, kinds_of
 
 pytestmark = pytest.mark.skipif(not Path(VOCABULARIES, VOCABULARY).exists(), reason="no vocabulary files")
 
@@ -78,6 +80,30 @@ def test_split_text(enc):
         split_text("x", 10, 8, enc)
 
 
+def test_counts_from_the_whole_text(enc):
+    """Tokens of any piece counted from those of the whole text are those of the piece encoded alone."""
+    rng = random.Random(11)
+    bits = ["山歌", "唱", "。", "，", " ", "  ", "\n", "\r\n", "it's", "'s", "'", "don't'x", "word", "Word", "12", "3.5", "🎵", "é", "e\u0301", "\u00a0", "\u3000", "\t", "\x1c", "\u0378", "!!", "'re", "「", "x'll", "\u200b", "ǅ", "½"]
+    for _ in range(60):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 120)))
+        chars, whole = enc.boundaries(t)
+        usable = np.flatnonzero(whole)
+        points, kinds = kinds_of(t)
+        count = enc.counter(t, chars[usable], usable, kinds, points)
+        for _ in range(60):
+            a, b = sorted(rng.randrange(len(t) + 1) for _ in range(2))
+            assert count(a, b) == enc.count(t[a:b]), (t, a, b)
+
+
+def test_word_ends():
+    old = re.compile(r"(?<=[^\s])(?=\s)|\s+|(?<=[A-Za-z0-9])(?=[㐀-鿿])|(?<=[㐀-鿿])(?=[A-Za-z0-9])")
+    rng = random.Random(12)
+    for _ in range(300):
+        t = "".join(rng.choice(["山", "a", "9", " ", "\n", "\u3000", "。", "\u00a0", "\x1c", "é", "🎵"]) for _ in range(rng.randrange(1, 30)))
+        got, want = set(word_ends(kinds_of(t)[0]).tolist()), {m.end() for m in old.finditer(t)}
+        assert got == want, t
+
+
 def test_split_documents(spark):
     df = spark.createDataFrame([(1, "word " * 600, 5), (2, "short", 5), (3, None, 5), (4, "", 5)], "id long, text string, piece int")
     p = split_documents(df, "id", "text", 128, 16, VOCABULARY, VOCABULARIES).collect()
