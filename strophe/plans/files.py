@@ -94,7 +94,7 @@ def csv_many_files(spark: SparkSession, d: str) -> DataFrame:
 
 @Q("SELECT event_id, user_id, ts, event_type, value FROM events")
 def parquet_table(spark: SparkSession, d: str) -> DataFrame:
-    """A record store with its types (S-08, S-21, K-01)."""
+    """A record store with its types (S-08, K-01)."""
     path = scratch(spark, "store")
     K.write_table(table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value"), path)
     return spark.read.parquet(path)
@@ -235,6 +235,35 @@ def aligned_frames(spark: SparkSession, d: str) -> DataFrame:
     return T.align_frames({p: spark.read.parquet(p) for p in paths}, "item", "pos")
 
 
+@Q("""SELECT province AS file, CAST(row_number() OVER w - 1 AS INTEGER) AS frame, round(lon, 9) AS lon, children FROM gazetteer WHERE province <> '' WINDOW w AS (PARTITION BY province ORDER BY adcode)
+    QUALIFY row_number() OVER w < count(*) OVER (PARTITION BY province)""")
+def frame_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays of a file side by side, to the shortest of them (S-20): here the second lacks its last frame."""
+    import numpy as np
+
+    path, by = scratch(spark, "arrays"), {}
+    for p in places(spark, d):
+        if p["province"]:
+            by.setdefault(p["province"], []).append(p)
+    for province, rows in by.items():
+        out = io.BytesIO()
+        np.savez(out, lon=np.array([p["lon"] for p in rows]), children=np.array([p["children"] or 0 for p in rows[:-1]], dtype="int32"))
+        K.put_bytes(spark, f"{path}/{province}.npz", out.getvalue())
+    if not by:
+        return spark.createDataFrame([], "file string, frame int, lon double, children int")
+    return T.read_npz(spark, path, {"lon": "double", "children": "int"}).withColumn("lon", F.round("lon", 9))
+
+
+@Q("SELECT adcode, name, lat FROM gazetteer")
+def pickled_records(spark: SparkSession, d: str) -> DataFrame:
+    """A store of plain records (S-21)."""
+    import pickle
+
+    path = scratch(spark, "pickled")
+    K.put_bytes(spark, path + "/places.pkl", pickle.dumps(places(spark, d)))
+    return T.read_pickle(spark, path, "adcode string, name string, lat double")
+
+
 @Q("""SELECT province, kind, value FROM (SELECT province, 'title' AS kind, province || ' & <places>' AS value FROM gazetteer GROUP BY province
       UNION ALL SELECT province, 'link', 'https://example.org/' || adcode || '?a=1&b=2' FROM gazetteer UNION ALL SELECT province, 'image', adcode || '.png' FROM gazetteer
       UNION ALL SELECT province, 'text', string_agg(name || ' "' || level || '"', chr(10) ORDER BY adcode) FROM gazetteer GROUP BY province) WHERE province IS NOT NULL AND province <> ''""")

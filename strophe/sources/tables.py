@@ -175,6 +175,45 @@ def discover(spark: SparkSession, root: str, pattern: str, read, label: str = "r
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def read_npz(spark: SparkSession, path: str, arrays: dict[str, str]) -> DataFrame:
+    """``(file, frame, ...)``: archives of equally long frame arrays, each read by a worker (S-20). arrays: name to column type. Every
+    array is cut to the shortest of its file; a file that lacks one is an error."""
+    import numpy as np
+
+    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("frame", T.IntegerType()), *[T.StructField(n, T._parse_datatype_string(t)) for n, t in arrays.items()]])
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, data in zip(b["path"], b["content"]):
+                with np.load(io.BytesIO(bytes(data)), allow_pickle=False) as z:
+                    got = {n: z[n] for n in arrays}
+                n = min(len(v) for v in got.values())
+                yield pd.DataFrame({"file": p.rsplit("/", 1)[-1].rsplit(".", 1)[0], "frame": np.arange(n, dtype="int32"), **{k: v[:n] for k, v in got.items()}})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    return nan_to_null(files.mapInPandas(rows, out))
+
+
+def read_pickle(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Record stores: pickled lists of dictionaries of plain values (S-21). Nothing but plain values is loaded: a pickle that names any
+    class or function is an error, so a file cannot run code."""
+    import pickle
+
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+    class Plain(pickle.Unpickler):
+        def find_class(self, module: str, name: str):
+            raise pickle.UnpicklingError(f"{module}.{name} is not a plain value")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for data in b["content"]:
+                got = Plain(io.BytesIO(bytes(data))).load()
+                yield pd.DataFrame([[r.get(n) for n in schema.names] for r in got], columns=schema.names, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
+
+
 def align_frames(series: dict[str, DataFrame], item: str, frame: str) -> DataFrame:
     """Frame series of several sources on (item, frame); only frames that all of them have, so each item ends with its shortest (S-20)."""
     return reduce(lambda a, b: a.join(b, [item, frame]), series.values())

@@ -83,3 +83,21 @@ def test_bars_and_parsers_that_fail(spark):
     df = spark.createDataFrame([(1, b"no midi"), (2, Z.midi_bytes([(0, 1, 60)])), (3, None)], "k int, content binary")
     rows = {r.k: r for r in P.parse_column(df, "k", "content", P.parse_midi, "onset double, dur double, pitch int, velocity int, track int").collect()}
     assert set(rows) == {1, 2} and rows[1].error.startswith("ValueError") and rows[2].pitch == 60 and rows[2].error is None
+
+
+def test_stores_of_plain_values(spark, tmp_path):
+    import datetime
+    import pickle
+
+    import numpy as np
+
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.pkl").write_bytes(pickle.dumps([{"a": 1, "b": "x"}, {"a": None}]))
+    assert sorted(map(tuple, T.read_pickle(spark, str(tmp_path / "p"), "a int, b string").collect()), key=str) == [(1, "x"), (None, None)]
+    (tmp_path / "p/b.pkl").write_bytes(pickle.dumps([{"a": datetime.date(2024, 1, 1)}]))
+    with pytest.raises(Exception, match="not a plain value"):
+        T.read_pickle(spark, str(tmp_path / "p"), "a int, b string").collect()
+    np.savez(tmp_path / "one.npz", f0=np.array([1.0, np.nan, 3.0]), conf=np.array([1, 2], dtype="int32"))
+    assert [tuple(r) for r in T.read_npz(spark, str(tmp_path), {"f0": "double", "conf": "int"}).orderBy("frame").collect()] == [("one", 0, 1.0, 1), ("one", 1, None, 2)]
+    with pytest.raises(Exception):
+        T.read_npz(spark, str(tmp_path), {"no": "double"}).collect()
