@@ -30,12 +30,16 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _skeleton_sql(column: str) -> str:
+def _plain_sql(column: str) -> str:
     pairs = [(a, b) for a, b in lookalike_table().items() if ord(a) < 0x10000 and ord(b) < 0x10000]
     source, target = "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
     c = f"regexp_replace({column}, {_sql_text(INVISIBLE_CLASS)}, '', 'g')"
     c = f"regexp_replace({c}, {_sql_text(SPACE_CLASS + '+')}, ' ', 'g')"
-    return f"nfc_normalize(trim(translate({c}, {_sql_text(source)}, {_sql_text(target)})))"
+    return f"trim(translate({c}, {_sql_text(source)}, {_sql_text(target)}))"
+
+
+def _skeleton_sql(column: str) -> str:
+    return f"nfc_normalize({_plain_sql(column)})"
 
 
 _VALUES = """v AS (SELECT field, value, {skeleton} AS sk FROM (
@@ -46,4 +50,7 @@ QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical}
 SQL = {
     "p5_found": "WITH " + _VALUES.format(skeleton=_skeleton_sql("value")) + """
     SELECT a.field, a.value AS value_a, b.value AS value_b FROM v a JOIN v b ON a.field = b.field AND a.sk = b.sk AND a.value < b.value WHERE a.sk <> ''""",
+    "p5_canonical": "WITH " + _VALUES.format(skeleton=_skeleton_sql("value")) + f"""
+    , c AS (SELECT field, sk, arg_min(value, struct_pack(other := value <> {_plain_sql("value")}, v := value)) AS canonical FROM v WHERE sk <> '' GROUP BY field, sk), m AS (SELECT v.field, v.value, c.canonical FROM v JOIN c ON c.field = v.field AND c.sk = v.sk)
+    SELECT r.item_id, t.canonical AS title, s.canonical AS song_name FROM (SELECT DISTINCT item_id, title, song_name FROM recordings) r LEFT JOIN m t ON t.field = 'title' AND t.value = r.title LEFT JOIN m s ON s.field = 'song_name' AND s.value = r.song_name""",
 }
