@@ -70,8 +70,11 @@ def softmax_long(df: DataFrame, ident: str, scores: Column) -> DataFrame:
 
 
 def em_priors(p: DataFrame, ident: str, classes: int, rounds: int) -> DataFrame:
-    """``(cls, prior)`` by a fixed number of rounds from a uniform start. A round is one pass; the priors are one array of a few numbers."""
+    """``(cls, prior)`` by a fixed number of rounds from a uniform start. A round is one pass; the priors are one array of a few numbers.
+    No rows give no priors."""
     rows = cut(p.groupBy(ident).agg(F.transform(F.sort_array(F.collect_list(F.struct("cls", "p"))), lambda x: x["p"]).alias("p")))
+    if rows.isEmpty():
+        return rows.sparkSession.createDataFrame([], "cls int, prior double")
     q = [1.0 / classes] * classes
     for _ in range(rounds):
         prior = F.array(*[F.lit(x) for x in q])

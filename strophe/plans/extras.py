@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from strophe.operators import kernels as K, ml as M, sequences as S, stats as X
-from strophe.plans.registry import Registry, table
+from strophe.plans.registry import Registry, fitted_on, table
 from strophe.plans.sequences import NOTES_SQL, W, notes
 
 Q = Registry()
@@ -96,6 +96,7 @@ def _distances(spark: SparkSession, d: str) -> tuple[list[int], np.ndarray]:
     return names, m
 
 
+@fitted_on("embeddings", "label int, cluster int, height double")
 def profile_tree(spark: SparkSession, d: str) -> DataFrame:
     """The average-linkage tree of class profiles: merges, heights and the cut into three (G-09, R-13)."""
     names, m = _distances(spark, d)
@@ -105,6 +106,7 @@ def profile_tree(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "label int, cluster int, height double")
 
 
+@fitted_on("embeddings", "label int, partner int, distance double, mantel_r double, mantel_p double, side int")
 def matched_classes(spark: SparkSession, d: str) -> DataFrame:
     """Classes paired at least total distance, how distances agree with the order of names, and the best split into two by swaps (G-06, G-07, G-08, R-12)."""
     names, m = _distances(spark, d)
@@ -118,29 +120,34 @@ def matched_classes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "label int, partner int, distance double, mantel_r double, mantel_p double, side int")
 
 
+@fitted_on("embeddings", "label int, feature int, coefficient double")
 def top_coefficients(spark: SparkSession, d: str) -> DataFrame:
     """The three largest coefficients of each class of a linear model (O-09)."""
     return M.top_coefficients(table(spark, d, "embeddings"), "label", "embedding", 3)
 
 
+@fitted_on("embeddings", "vec_id bigint, label int, guess int")
 def stacked(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold probabilities of one view as features of a second model (M-07)."""
     e = table(spark, d, "embeddings").withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(2)).cast("int"))
     return M.stack(e, "vec_id", "label", "fold", [F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)])
 
 
+@fitted_on("embeddings", "fold int, chosen double, accuracy double")
 def nested_selection(spark: SparkSession, d: str) -> DataFrame:
     """Per outer fold the strength of regularisation that inner folds prefer, and its held-out accuracy (M-08, M-14, M-18)."""
     e = table(spark, d, "embeddings").withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(2)).cast("int"))
     return M.nested_selection(e, "vec_id", "label", "fold", F.col("embedding"), [0.001, 0.1])
 
 
+@fitted_on("embeddings", "vec_id bigint, label int, guess int")
 def two_stage(spark: SparkSession, d: str) -> DataFrame:
     """A coarse model, then one within each coarse class (M-11)."""
     e = table(spark, d, "embeddings").withColumns({"coarse": F.col("label") % 2, "held": F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0})
     return M.two_stage(e, "vec_id", "coarse", "label", "held", F.col("embedding"))
 
 
+@fitted_on("embeddings", "vec_id bigint, label int, guess int")
 def random_features(spark: SparkSession, d: str) -> DataFrame:
     """Ridge regression on random features by normal equations gathered in one pass (M-13)."""
     e = table(spark, d, "embeddings").withColumn("held", F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0)

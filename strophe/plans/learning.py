@@ -15,7 +15,7 @@ from strophe.operators.relational import cap_per_group
 from strophe.operators.similarity import cosine_pairs, unit_vectors
 from strophe.plans.models import _WEIGHTS, _name_terms
 from strophe.plans.music import _VOCABULARIES, _Y, _joined_sql, token_vocabularies
-from strophe.plans.registry import REC, Registry, recordings, sql_present, table
+from strophe.plans.registry import REC, Registry, fitted_on, recordings, sql_present, table
 
 Q = Registry()
 
@@ -54,6 +54,7 @@ def multi_view_terms(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@fitted_on("recordings", "title string, cluster int")
 def title_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Titles by weighted n-grams of one to three characters, a truncated decomposition, and k-means (M-02): every title with its cluster."""
     t = recordings(spark, d, "title").where(present("title").isNotNull()).select("title").distinct()
@@ -71,11 +72,13 @@ def _split(spark: SparkSession, d: str, parts: int = 3) -> tuple[DataFrame, Data
     return x.where("not held").drop("held"), x.where("held").drop("held")
 
 
+@fitted_on("embeddings", "strategy string, accuracy double")
 def strategy_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Held-out accuracy of four kinds of classifier (M-04, U-06); how good they are is tested on classes that can be told apart."""
     return spark.createDataFrame(L.strategies(*_split(spark, d)), "strategy string, accuracy double")
 
 
+@fitted_on("embeddings", "vec_id bigint, label int, guess int")
 def dual_view(spark: SparkSession, d: str) -> DataFrame:
     """Two views of the held-out rows: a model of the training rows, and one that also takes outside rows at the same total weight; their
     probabilities are averaged (M-06)."""
@@ -89,6 +92,7 @@ def dual_view(spark: SparkSession, d: str) -> DataFrame:
     return M.fuse([surface, skeleton], "vec_id", test.select("vec_id", "label"))
 
 
+@fitted_on("embeddings", "alignment string, accuracy double")
 def transfer_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """From one domain to another, unaligned, scaled each by itself, and by correlation alignment (M-10)."""
     e = table(spark, d, "embeddings")
@@ -96,6 +100,7 @@ def transfer_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(L.transfer(source, target, "vec_id", "label", "embedding", ["none", "z", "coral"]), "alignment string, accuracy double")
 
 
+@fitted_on("embeddings", "n bigint, effective double, auc double")
 def domain_weights(spark: SparkSession, d: str) -> DataFrame:
     """Importance weights of a source domain (M-10): their number, the area under the curve of the domain classifier, and the effective sample."""
     e = table(spark, d, "embeddings")
@@ -104,6 +109,7 @@ def domain_weights(spark: SparkSession, d: str) -> DataFrame:
     return w.agg(F.count("*").alias("n"), ess).withColumn("auc", F.lit(auc))
 
 
+@fitted_on("embeddings", "method string, k int, nmi double, ari double, fowlkes_mallows double")
 def cluster_sweeps(spark: SparkSession, d: str) -> DataFrame:
     """k-means, mixtures and Ward's method at three sizes, and how they agree with the labels (M-12)."""
     return L.cluster_sweep(table(spark, d, "embeddings"), "label", "embedding", [5, 10, 15])
@@ -205,6 +211,7 @@ def chance_recalls(spark: SparkSession, d: str) -> DataFrame:
     return x.select("region", "k", F.round(1 - none, 6).alias("chance"))
 
 
+@fitted_on("embeddings", "shots int, rows bigint, accuracy double")
 def learning_curve(spark: SparkSession, d: str) -> DataFrame:
     """Held-out accuracy by the number of training rows a class (M-14, M-18): draws by hash, all held-out rows each time."""
     train, test = _split(spark, d)
@@ -216,12 +223,14 @@ def learning_curve(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "shots int, rows long, accuracy double")
 
 
+@fitted_on("embeddings", "clade string, support double")
 def clade_support(spark: SparkSession, d: str) -> DataFrame:
     """The clades of the class profiles and how many of a hundred resamples have them (R-13): resampling in Spark, trees of a few leaves on the driver."""
     p = L.resampled_profiles(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 100)
     return spark.createDataFrame(L.clade_support(p), "clade string, support double")
 
 
+@fitted_on("embeddings", "test string, statistic double, p double")
 def label_permutation(spark: SparkSession, d: str) -> DataFrame:
     """Whether classes of one group lie nearer to each other than to the others (R-12): the contrast of distances within and between the groups,
     the rank correlation with the order of names, and their permutation shares."""

@@ -12,7 +12,7 @@ from strophe.functions.text import present
 from strophe.operators import kernels as K, ml as M
 from strophe.operators.similarity import cosine_pairs, fuzzy_pairs, unit_vectors
 from strophe.operators.vectors import exact_neighbours
-from strophe.plans.registry import REC, Registry, recordings, sql_present, table
+from strophe.plans.registry import REC, Registry, fitted_on, recordings, sql_present, table
 from strophe.plans.sequences import NOTES_SQL, W, notes
 
 Q = Registry()
@@ -211,6 +211,7 @@ def standardised(spark: SparkSession, d: str) -> DataFrame:
     return e.crossJoin(F.broadcast(m)).select("vec_id", F.round(F.sqrt(z), 4).alias("z_norm"))
 
 
+@fitted_on("embeddings", "vec_id bigint, label int, guess int")
 def cross_validated(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold predictions of two views by class-balanced logistic regression and their fusion (M-03, M-05, M-06); held-out accuracy is tested."""
     e = table(spark, d, "embeddings").withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(3)).cast("int"))
@@ -219,11 +220,13 @@ def cross_validated(spark: SparkSession, d: str) -> DataFrame:
     return M.fuse([a, b], "vec_id", e.select("vec_id", "label"))
 
 
+@fitted_on("embeddings", "nmi double, ari double, fowlkes_mallows double")
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     """k-means over a feature matrix, and how it agrees with the labels (M-12, X-06)."""
     return M.kmeans_agreement(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 10)
 
 
+@fitted_on("embeddings", "n bigint, r2 double")
 def linear_probe(spark: SparkSession, d: str) -> DataFrame:
     """How much of a quantity a linear model finds in a feature matrix, against its mean (X-08)."""
     e = table(spark, d, "embeddings").withColumn("y", F.col("label").cast("double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,21 @@ class Registry:
         return add
 
 
+def fitted_on(source: str, schema: str) -> Callable[[Query], Query]:
+    """For a query that fits something on a table: where that table is empty there is nothing to fit, and the result is empty."""
+
+    def wrap(f: Query) -> Query:
+        @functools.wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            if table(spark, d, source).isEmpty():
+                return spark.createDataFrame([], schema)
+            return f(spark, d)
+
+        return run
+
+    return wrap
+
+
 def sql_present(c: str) -> str:
     return f"(CASE WHEN {c} IS NOT NULL AND {c} NOT IN ('', 'NA', 'nan', 'None') THEN {c} END)"
 

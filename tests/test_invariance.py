@@ -41,3 +41,24 @@ ONE_ROW = {"describe_column", "keyword_presence", "headline_numbers"}
 @pytest.mark.parametrize("name", [*NAMES[:8], "describe_column", "keyword_presence", "rolling_median", "tonic_by_template", "review_rows", "connected_groups", "unified_items", "anchors_filled", "false_discovery"])
 def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == (1 if name in ONE_ROW else 0)
+
+
+MODELS = ["title_clusters", "strategy_accuracy", "dual_view", "transfer_accuracy", "domain_weights", "cluster_sweeps", "learning_curve", "clade_support", "label_permutation", "cross_validated", "clusters", "linear_probe", "profile_tree", "matched_classes", "top_coefficients", "stacked", "nested_selection", "two_stage", "random_features"]
+
+
+@pytest.mark.parametrize("module", ["music", "files", "learning", "custom", "streams"])
+def test_whole_modules_on_empty_tables(spark, empty, module):
+    """Nothing in, nothing out; numbers of a paper and a filled template are written of nothing, too."""
+    for name, q in importlib.import_module(f"strophe.plans.{module}").QUERIES.items():
+        assert q(spark, empty).count() == {"paper_numbers": 3, "filled_template": 1}.get(name, 0), name
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_nothing_to_fit(spark, data, empty, name):
+    got = QUERIES[name](spark, empty)
+    assert got.count() == 0 and got.columns
+
+
+@pytest.mark.parametrize("name", ["token_vocabularies", "feature_vector", "song_features", "audited_notes", "intonation_features", "augmented_notes", "multi_view_terms", "cross_fold_duplicates", "left_out_platforms", "role_excerpts", "few_shots", "annotator_orders", "null_percentile", "note_f1", "clade_support", "custom_aggregate", "stream_sessions"])
+def test_order_does_not_matter_to_the_rest(spark, data, shuffled, name):
+    assert canonical(QUERIES[name](spark, data).toPandas()) == canonical(QUERIES[name](spark, shuffled).toPandas())
