@@ -21,9 +21,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from strophe.operators.components import connected
+from strophe.operators.ordered import number_rows
 from strophe.llm.naming import Form, Rule, is_short_of, same_name
 from strophe.llm.readings import Readings
 from strophe.session import cut, parallelism, spread
@@ -171,8 +171,11 @@ def cluster_links(pairs: DataFrame, cut_at: float = 0.12, most: int = 3000) -> D
     big = sizes.where(F.col("n") > most)
     if big.isEmpty():
         return out
-    big = big.withColumn("r", F.row_number().over(Window.orderBy("root")))
-    numbered = cut(comp.join(big, "root").withColumn("c", F.row_number().over(Window.partitionBy("r").orderBy("node"))).select("r", "c", "node"))
+    # numbers over range partitions, so that no task orders a component alone
+    big = number_rows(big.select("root"), ["root"], "r")
+    all_ = number_rows(comp.join(big.select("root"), "root").select("root", "node"), ["root", "node"], "g")
+    start = all_.groupBy("root").agg(F.min("g").alias("start")).join(big, "root")
+    numbered = cut(all_.join(start, "root").select(F.col("r").cast("int").alias("r"), (F.col("g") - F.col("start") + 1).cast("int").alias("c"), "node"))
     number = lambda x: numbered.select("r", F.col("c").alias(x), F.col("node").alias(f"id_{x}"))
     sims = inside.where(F.col("n") > most).join(number("a"), "id_a").join(number("b"), ["r", "id_b"])
     sims = sims.select("r", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("cos").alias("s"))
