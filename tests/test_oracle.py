@@ -24,7 +24,7 @@ ELSEWHERE = {
     "test_brute": {"fuzzy_titles", "note_f1", "melodic_alignment", "voted_notes", "missed_segments", "quantised_notes", "profile_tree", "matched_classes", "clade_support", "label_permutation", "group_folds", "representatives",
                    "title_clusters", "strategy_accuracy", "transfer_accuracy", "cluster_sweeps", "learning_curve", "domain_weights", "dual_view"},
     "test_learning": {"cross_validated", "stacked", "two_stage", "random_features", "nested_selection", "linear_probe", "top_coefficients", "clusters"},
-    "test_custom": {"title_variants"}, "test_whole": {"connected_groups"}, "test_operators": {"chi_square_p"},
+    "test_custom": {"title_variants"}, "test_operators": {"chi_square_p"},
 }
 
 
