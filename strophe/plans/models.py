@@ -111,6 +111,13 @@ def melodic_alignment(spark: SparkSession, d: str) -> DataFrame:
     return pair.mapInPandas(align, "item long, other long, local double, agreement double, inside double")
 
 
+@Q(f"""WITH RECURSIVE {NOTES_SQL}, x AS (SELECT item, r AS run, onset / 3600 + r * 0.01 AS s, (onset + dur) / 3600 AS e, pitch FROM n, (SELECT unnest([0, 1, 2]) AS r) WHERE (event_id + r) % 4 <> 0),
+    pool AS (SELECT *, row_number() OVER (PARTITION BY item, pitch ORDER BY s, run, e) AS i FROM x), k AS (SELECT item, count(DISTINCT run) // 2 + 1 AS need FROM x GROUP BY item),
+    c AS (SELECT item, pitch, i, 1 AS c, s AS first, [run] AS runs FROM pool WHERE i = 1
+      UNION ALL SELECT p.item, p.pitch, p.i, CASE WHEN p.s - first > 0.05 OR list_contains(runs, p.run) THEN c + 1 ELSE c END, CASE WHEN p.s - first > 0.05 OR list_contains(runs, p.run) THEN p.s ELSE first END,
+        CASE WHEN p.s - first > 0.05 OR list_contains(runs, p.run) THEN [p.run] ELSE list_append(runs, p.run) END FROM c JOIN pool p ON p.item = c.item AND p.pitch = c.pitch AND p.i = c.i + 1),
+    g AS (SELECT c.item, c.pitch, c.c, median(p.s) AS s, median(p.e) AS e, count(*) AS n FROM c JOIN pool p ON p.item = c.item AND p.pitch = c.pitch AND p.i = c.i GROUP BY ALL)
+    SELECT g.item, round(s, 6) AS start, round(least(e, coalesce(lead(s) OVER (PARTITION BY g.item ORDER BY s, e, pitch), e)), 6) AS "end", CAST(pitch AS INTEGER) AS pitch FROM g JOIN k ON k.item = g.item WHERE n >= need""")
 def voted_notes(spark: SparkSession, d: str) -> DataFrame:
     """Notes that most of three noisy runs agree on (N-12)."""
     n = notes(spark, d).withColumn("run", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("(event_id + run) % 4 <> 0")
@@ -121,7 +128,8 @@ def voted_notes(spark: SparkSession, d: str) -> DataFrame:
         v = K.vote(runs)
         return pd.DataFrame({"item": [g["item"].iloc[0]] * len(v), "start": [x[0] for x in v], "end": [x[1] for x in v], "pitch": [int(x[2]) for x in v]}).astype({"item": "int64", "start": float, "end": float, "pitch": "int32"})
 
-    return n.groupBy("item").applyInPandas(vote, "item long, start double, end double, pitch int")
+    v = n.groupBy("item").applyInPandas(vote, "item long, start double, end double, pitch int")
+    return v.select("item", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "pitch")
 
 
 LM_SQL = f"""WITH {NOTES_SQL}, l AS (SELECT item, item % 3 AS cls, item % 5 = 0 AS held, pos, event_type AS t0, lag(event_type, 1) OVER w AS t1, lag(event_type, 2) OVER w AS t2 FROM n WINDOW w AS (PARTITION BY item ORDER BY pos)),
@@ -234,4 +242,4 @@ def linear_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES, SQL = Q.queries, Q.sql
-QUERIES |= {f.__name__: f for f in (fuzzy_titles, note_f1, melodic_alignment, voted_notes, cross_validated, clusters, linear_probe)}
+QUERIES |= {f.__name__: f for f in (fuzzy_titles, note_f1, melodic_alignment, cross_validated, clusters, linear_probe)}

@@ -21,7 +21,7 @@ def test_equals_sql(spark, data, name):
 
 #: Queries without SQL, and the tests that compare them with brute force or with data whose answer is known.
 ELSEWHERE = {
-    "test_brute": {"fuzzy_titles", "note_f1", "melodic_alignment", "voted_notes", "missed_segments", "quantised_notes", "profile_tree", "matched_classes", "clade_support", "label_permutation", "group_folds",
+    "test_brute": {"fuzzy_titles", "note_f1", "melodic_alignment", "missed_segments", "profile_tree", "matched_classes", "clade_support", "label_permutation", "group_folds",
                    "title_clusters", "strategy_accuracy", "transfer_accuracy", "cluster_sweeps", "learning_curve", "domain_weights", "dual_view"},
     "test_learning": {"cross_validated", "stacked", "two_stage", "random_features", "nested_selection", "linear_probe", "top_coefficients", "clusters"},
     "test_custom": {"title_variants"}, "test_operators": {"chi_square_p"},
