@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -42,17 +46,38 @@ def corrected_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missed_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Uncovered runs of enough length, split where their level changes (N-16); the split is sequential within a run."""
+    """Uncovered runs of enough length, split where their level changes (N-16); the split is sequential within a run.
+
+    Most runs are short, so they are not groups of their own: the window over an item leaves all its rows in one partition, which is read in
+    the order of items and places; only the run that a batch ends in is carried over to the next.
+    """
     x = notes(spark, d).where("event_type <> 'error'")
     r = S.islands(x, "item", "onset", 43200.0)
 
-    def split(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
-        v = (g["value"] / 100).tolist()
-        cuts = K.split_steps(v)
-        return pd.DataFrame({"item": [g["item"].iloc[0]] * len(cuts), "first": [int(g["pos"].iloc[a]) for a, _ in cuts], "size": [b - a for a, b in cuts], "level": [float(np.median(v[a:b])) for a, b in cuts]}).astype({"item": "int64", "first": "int32", "size": "int32", "level": float})
-
-    return r.groupBy("item", "island").applyInPandas(split, "item long, first int, size int, level double")
+    def ranges(item: int | None, pos: list[int], v: list[float]) -> list[tuple]:
+        return [(item, pos[a], e - a, None if (m := K.middle(v[a:e])) != m else m) for a, e in K.split_steps(v)]
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        kinds = {"item": pa.int64(), "first": pa.int32(), "size": pa.int32(), "level": pa.float64()}
+        return pa.record_batch([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, where, run = (None, None), [], []  # the run that is open, its places and values
+        for b in batches:
+            found = []
+            keys = list(zip(b["item"].to_pylist(), b["island"].to_pylist()))
+            pos, v = b["pos"].to_pylist(), (b["value"].fill_null(float("nan")).to_numpy() / 100).tolist()
+            for i, j in pairwise([0, *(k for k in range(1, len(v)) if keys[k] != keys[k - 1]), len(v)] if v else []):
+                if keys[i] != at:
+                    found += ranges(at[0], where, run)
+                    at, where, run = keys[i], [], []
+                where += pos[i:j]
+                run += v[i:j]
+            yield batch(found)
+        yield batch(ranges(at[0], where, run))
+
+    r = r.select("item", "island", "pos", "value").sortWithinPartitions("item", "pos")
+    return r.mapInArrow(split, "item long, first int, size int, level double")
 
 
 @Q(f"WITH {NOTES_SQL} SELECT a.item, CAST(b.pos - a.pos AS INTEGER) AS lag, count(*) AS equal FROM n a JOIN n b ON a.item = b.item AND a.pitch = b.pitch AND b.pos > a.pos AND b.pos - a.pos <= 8 GROUP BY ALL")

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from strophe.operators.ordered import number_rows, running_totals
 from strophe.operators.relational import conform, contained_pairs, keep_first, keep_last, lookup, nearest_join, overlap_join, override, reindex, replace_by_key, upsert_registry
 from strophe.operators.similarity import cosine_pairs, fuzzy_pairs, unit_vectors
 from strophe.operators.vectors import exact_neighbours
+from strophe.plans import extras
 
 
 def test_components_equal_union_find(spark):
@@ -288,3 +290,49 @@ def test_release_and_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         session.checkpoint_dir(Session)
+
+
+def test_split_steps_by_its_definition():
+    """Levels from heaps are those of medians taken anew; a long run without a change costs no more a value than a short one."""
+    rng = random.Random(4)
+    for _ in range(300):
+        v = [rng.choice([0.0, 0.2, 1.0, 2.5]) + (k // 9 % 2) * rng.random() * 2 for k in range(rng.randrange(60))]
+        if rng.random() < 0.3 and v:
+            v[rng.randrange(len(v))] = float("nan")
+        want, start = [], 0
+        for i in range(len(v)):
+            level = np.median(v[start:i]) if i > start else None
+            if i - start >= 5 and i + 5 <= len(v) and abs(v[i] - level) >= 0.5 and abs(np.median(v[i : i + 5]) - level) >= 0.5:
+                want.append((start, i))
+                start = i
+        assert K.split_steps(v) == want + [(start, len(v))] * bool(v)
+    began = time.process_time()
+    assert K.split_steps([0.0, 0.0, 0.0, 2.0] * 12_500) == [(0, 50_000)]
+    assert time.process_time() - began < 5
+
+
+def test_missed_segments_in_batches(spark, tmp_path):
+    """Runs that end within, at and after a batch, values that are missing, and no group a run."""
+    rows = []
+    for u in (None, 1, 2, 3):
+        t = 0
+        for k in range(70):
+            t += rng_gap(u, k)
+            rows.append((u, t * 1_000_000, "error" if k % 11 == 3 else "click", None if u == 3 and k == 5 else float((k // 8 % 2) * 300 + k % 3)))
+    e = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "event_id long, user_id long, us long, event_type string, value double")
+    e.select("event_id", "user_id", F.timestamp_micros("us").alias("ts"), "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = {}
+    for n in (10_000, 1, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        df = extras.missed_segments(spark, str(tmp_path))
+        got[n] = sorted(map(tuple, df.collect()), key=str)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[1] == got[7] == got[10_000] and {r[0] for r in got[1]} == {None, 1, 2, 3}
+    assert sum(r[2] for r in got[1]) == sum(r[2] != "error" for r in rows) and len(got[1]) == len({r[:2] for r in got[1]}) > 8
+    assert any(r[3] is None for r in got[1] if r[0] == 3) and all(r[3] is not None for r in got[1] if r[0] != 3)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def rng_gap(u: int | None, k: int) -> int:
+    """Seconds between two events: gaps that end a run at other places for each user."""
+    return 50_000 if k % (13 + (u or 0)) == 12 else 600
