@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -198,31 +200,75 @@ def cluster_sweep(df: DataFrame, label: str, vector: str, ks: Sequence[int], see
 def latent_clusters(terms: DataFrame, ident: str, features: int, dims: int, k: int, seed: int = 7) -> DataFrame:
     """``(ident, cluster)`` from (ident, term, w) rows: the ``features`` most frequent terms, truncated singular value decomposition, k-means.
     The decomposition needs the Gram matrix of the features on the driver, whatever the number of rows."""
-    from pyspark.ml.linalg import Vectors
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
+    kind = terms.schema[ident].dataType.simpleString()
     top = terms.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(features)
     names = [r[0] for r in top.select("term").collect()]
     width = len(names)
+    if not width:
+        return terms.sparkSession.createDataFrame([], f"{ident} {kind}, cluster int")
     index = df_index(terms.sparkSession, names)
-    v = terms.join(F.broadcast(index), "term").groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("v"))
-    v = cut(v)
-    rows = v.select("v").rdd.map(lambda r: Old.sparse(width, [x["i"] for x in r["v"]], [x["w"] for x in r["v"]]))
-    svd = RowMatrix(rows, v.count(), width).computeSVD(min(dims, width - 1))
-    basis = svd.V.toArray()
+    entry = F.when(F.col("i").isNotNull(), F.struct("i", "w"))  # what has none of these terms is kept, with nothing
+    v = terms.join(F.broadcast(index), "term", "left").groupBy(ident).agg(F.sort_array(F.collect_list(entry)).alias("v"))
+    v = cut(v.select(ident, F.col("v.i").alias("i"), F.col("v.w").alias("w")))
+    basis = principal(gram_matrix(v, width), min(dims, max(1, width - 1)))
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [sum((basis[x["i"]] * x["w"] for x in xs), np.zeros(basis.shape[1])) for xs in b["v"]]
-            yield pd.DataFrame({ident: b[ident], "z": out})
+            for part in (b.slice(at, 1000) for at in range(0, b.num_rows, 1000)):
+                z = _dense(part, width) @ basis
+                flat = pa.ListArray.from_arrays(np.arange(0, z.size + 1, z.shape[1], dtype=np.int32), z.ravel())
+                yield pa.record_batch([part[ident], flat], [ident, "z"])
 
-    kind = terms.schema[ident].dataType.simpleString()
-    z = v.mapInPandas(project, f"{ident} {kind}, z array<double>").select(ident, array_to_vector("z").alias("features"))
+    z = v.mapInArrow(project, f"{ident} {kind}, z array<double>").select(ident, array_to_vector("z").alias("features"))
     z = cut(z)
     return KMeans(k=k, seed=seed).fit(z).transform(z).select(ident, F.col("prediction").alias("cluster"))
 
 
+def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the rows of a batch of (i, w) arrays, and their entries one after the other."""
+    return np.diff(b["i"].offsets.to_numpy()), b["i"].flatten().to_numpy(), b["w"].flatten().to_numpy()
+
+
+def _dense(b: pa.RecordBatch, width: int) -> np.ndarray:
+    n, i, w = _entries(b)
+    x = np.zeros((b.num_rows, width))
+    x[np.repeat(np.arange(len(n)), n), i] = w
+    return x
+
+
+def gram_matrix(v: DataFrame, width: int, pieces: int = 16) -> np.ndarray:
+    """The sum of the outer products of sparse rows (i, w: arrays). A task adds up its rows and hands its matrix on in pieces, of which the
+    sums reach the driver; its pairs of entries are added in runs of rows, so memory follows the width. Each pair of an i and a j, i <= j, counts."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, task = np.zeros(width * width), TaskContext.get().partitionId()
+        for b in batches:
+            for part in (b.slice(at, 500) for at in range(0, b.num_rows, 500)):
+                n, i, w = _entries(part)
+                after = np.repeat(np.cumsum(n), n) - np.arange(len(i))  # entries of the row from this one on
+                a = np.repeat(np.arange(len(i)), after)
+                other = a + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+                total += np.bincount(i[a].astype(np.int64) * width + i[other], weights=w[a] * w[other], minlength=width * width)
+        if total.any():
+            cuts = np.array_split(total, pieces)
+            yield pa.record_batch([pa.array(range(pieces), pa.int32()), pa.array([task] * pieces, pa.int32()), pa.array(cuts, pa.list_(pa.float64()))], ["piece", "task", "x"])
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": g["piece"].iloc[:1], "x": [np.sum(np.stack(g.sort_values("task")["x"]), axis=0)]})
+
+    few = v.select("i", "w").coalesce(2 * v.sparkSession.sparkContext.defaultParallelism)
+    got = few.mapInArrow(sums, "piece int, task int, x array<double>").groupBy("piece").applyInPandas(add, "piece int, x array<double>").collect()
+    upper = np.concatenate([r["x"] for r in sorted(got, key=lambda r: r["piece"])]).reshape(width, width) if got else np.zeros((width, width))
+    return upper + np.triu(upper, 1).T
+
+
+def principal(gram: np.ndarray, dims: int) -> np.ndarray:
+    """The right singular vectors of a matrix of this Gram matrix, largest values first; those of values that are nothing beside the first are left out."""
+    values, vectors = np.linalg.eigh(gram)
+    sigma = np.sqrt(np.maximum(values[::-1][:dims], 0))
+    return vectors[:, ::-1][:, :dims][:, sigma >= 1e-9 * sigma[0]]
+
+
 def df_index(spark, names: Sequence[str]) -> DataFrame:
     """A vocabulary with its numbers, bounded by the caller."""
     return spark.createDataFrame(list(enumerate(names)), "i int, term string")

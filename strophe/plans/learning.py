@@ -16,6 +16,7 @@ from strophe.operators.similarity import cosine_pairs, unit_vectors
 from strophe.plans.models import _WEIGHTS, _name_terms
 from strophe.plans.music import _VOCABULARIES, _Y, _joined_sql, token_vocabularies
 from strophe.plans.registry import REC, Registry, fitted_on, recordings, sql_present, table
+from strophe.session import cut
 
 Q = Registry()
 
@@ -58,12 +59,14 @@ def multi_view_terms(spark: SparkSession, d: str) -> DataFrame:
 def title_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Titles by weighted n-grams of one to three characters, a truncated decomposition, and k-means (M-02): every title with its cluster."""
     t = recordings(spark, d, "title").where(present("title").isNotNull()).select("title").distinct()
+    t = cut(t.withColumn("id", F.monotonically_increasing_id()))  # a title has some 70 terms, and is not moved with each of them
 
     def grams(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - (n - 1), F.lit(1))), lambda i: F.substring("title", i, F.lit(n)))
 
     every = F.concat(*[grams(n) for n in (1, 2, 3)])
-    return L.latent_clusters(unit_vectors(t.select("title", F.explode(every).alias("term")), "title", "term"), "title", 1000, 50, 15)
+    got = L.latent_clusters(unit_vectors(t.select("id", F.explode(every).alias("term")), "id", "term"), "id", 1000, 50, 15)
+    return t.join(got, "id").select("title", "cluster")
 
 
 def _split(spark: SparkSession, d: str, parts: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -130,3 +130,23 @@ def test_assignment_and_swaps_equal_brute_force():
         got = K.assign(cost)
         assert abs(sum(cost[i, j] for i, j in enumerate(got)) - min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))) < 1e-12
     assert abs(K.chance_recall(10, 3, 2) - (1 - (7 / 10) * (6 / 9))) < 1e-12 and K.chance_recall(5, 4, 2) == 1.0
+
+
+def test_decomposition_reads_the_rows_once(spark):
+    """The Gram matrix and its vectors are those of the whole matrix; what has no frequent term is clustered too; one pass, whatever the width."""
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((90, 30)) < 0.2, rng.random((90, 30)), 0.0)
+    v = spark.createDataFrame([(k, [int(i) for i in np.flatnonzero(r)], [float(w) for w in r[r > 0]]) for k, r in enumerate(x)], "id int, i array<int>, w array<double>").repartition(5)
+    gram = L.gram_matrix(v, 30, 4)
+    assert np.allclose(gram, x.T @ x)
+    mine, whole = L.principal(gram, 6), np.linalg.svd(x)[2][:6].T
+    assert np.allclose(mine @ mine.T, whole @ whole.T) and L.principal(np.diag([4.0, 0, 0]), 2).shape == (3, 1)
+    words = ["".join(rng.choice(list("abcdefghijkl"), 9)) for _ in range(200)]
+    rows = [(w, g) for w in words for g in {w[i : i + 2] for i in range(8)}] + [("alone", "zz")]
+    terms = spark.createDataFrame(rows, "t string, term string").withColumn("w", F.lit(0.5)).cache()
+    spark.sparkContext.setJobGroup("latent", "")
+    got = L.latent_clusters(terms, "t", 120, 5, 3).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("latent"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.t for r in got) == sorted({*words, "alone"}) and jobs < 60, jobs
+    assert L.latent_clusters(terms.where("false"), "t", 120, 5, 3).collect() == []
